@@ -185,3 +185,52 @@ def error_summary(df: DataFrame, conf="confidence", true="true_label", pred="pre
                  F.round(100.0 * n_err / F.count("*"), 6).alias("error_pct"),
                  F.sum(F.when(err & (F.col(conf) < low), 1).otherwise(0)).cast("long").alias("low_conf_errors"),
                  F.sum(F.when(err & (F.col(conf) >= high), 1).otherwise(0)).cast("long").alias("high_conf_errors"))
+
+
+# ----------------------------------------------------- exact median ----
+def exact_median(df: DataFrame, col: str, by: list[str] | None = None,
+                 bins: int = 65536, max_passes: int = 12) -> DataFrame:
+    """Exact median (mean of the two middle values, as NumPy) per group.
+
+    No group is ever buffered in one task: each pass counts values into
+    ``bins`` equal-width bins inside the current [lo, hi] window of every
+    target rank (a partial-aggregated groupBy), then keeps only the bin that
+    holds the rank, bounded by its observed min/max.  A bin holding a single
+    distinct value ends the search for that rank.  Only the per-group search
+    state (groups x 2 rows) is read back between passes.
+    """
+    from utterscope.session import reliable_checkpoint, sized_broadcast
+    grouped = bool(by)
+    by = list(by) if by else ["_g"]
+    src = df if grouped else df.withColumn("_g", F.lit(0))
+    base = src.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    stats = base.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("lo"),
+                                  F.max("_x").alias("hi"))
+    # target ranks (0-based): floor((n-1)/2) and floor(n/2)
+    state = stats.select(*by, F.explode(F.array(
+        F.struct(F.lit(0).alias("t"), ((F.col("_n") - 1) / 2).cast("long").alias("r")),
+        F.struct(F.lit(1).alias("t"), (F.col("_n") / 2).cast("long").alias("r")))).alias("_s"),
+        "lo", "hi").select(*by, "_s.t", "_s.r", "lo", "hi")
+    state = reliable_checkpoint(state.withColumn("done", F.col("lo") == F.col("hi")))
+    for _ in range(max_passes):
+        if state.where(~F.col("done")).limit(1).count() == 0:
+            break
+        open_ = state.where(~F.col("done"))
+        w = (F.col("hi") - F.col("lo")) / bins
+        b = F.least(F.coalesce(F.floor(F.try_divide(F.col("_x") - F.col("lo"), w)), F.lit(0)),
+                    F.lit(bins - 1)).cast("long")
+        # the open search state is (groups x 2) rows; broadcast when bounded
+        rows = base.join(sized_broadcast(open_, 200000), by, "inner")
+        counted = (rows.where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")))
+                   .groupBy(*by, "t", b.alias("bin"))
+                   .agg(F.count("*").alias("c"), F.min("_x").alias("bmin"), F.max("_x").alias("bmax")))
+        win = Window.partitionBy(*by, "t").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        cum = counted.withColumn("before", F.coalesce(F.sum("c").over(win), F.lit(0)))
+        pick = (cum.join(open_.select(*by, "t", "r"), by + ["t"])
+                .where((F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("c")))
+                .select(*by, "t", (F.col("r") - F.col("before")).alias("r"),
+                        F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
+                        (F.col("bmin") == F.col("bmax")).alias("done")))
+        state = reliable_checkpoint(state.where(F.col("done")).unionByName(pick))
+    out = state.groupBy(*by).agg(F.avg("lo").alias("median"))
+    return out if grouped else out.drop("_g")
