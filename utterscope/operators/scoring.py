@@ -133,8 +133,20 @@ def decide_nomatch(label: Column, conf: Column, threshold: float,
 
 def classify(df: DataFrame, temperature: float, threshold: float,
              nomatch: str = lx.LABEL_NOMATCH) -> DataFrame:
-    """C1 -> C2 -> C3 over ``logits`` / ``class_names``."""
-    out = argmax_confidence(softmax_temperature(df, "logits", temperature))
+    """C1 -> C2 -> C3 over ``logits`` / ``class_names``.
+
+    The decision needs no probability array: argmax(p) = argmax(logits) and
+    max(p) = 1 / sum_j exp(z_j - z_max), which keeps the decision columns
+    small expressions even when a later filter is pushed below them.
+    ``probs`` is built separately and pruned when unused.
+    """
+    t = F.lit(float(temperature))
+    out = df.withColumn("_zmax", F.array_max("logits") / t)
+    out = (out.withColumn("pred_idx", (F.array_position("logits", F.array_max("logits")) - 1).cast("int"))
+              .withColumn("confidence", F.lit(1.0) / F.aggregate(
+                  "logits", F.lit(0.0), lambda a, x: a + F.exp(x / t - F.col("_zmax"))))
+              .drop("_zmax"))
+    out = softmax_temperature(out, "logits", temperature)
     out = out.withColumn("pred_label", vx.at("class_names", F.col("pred_idx")))
     d = decide_status(F.col("pred_label"), F.col("confidence"), threshold, nomatch)
     return out.withColumn("_d", d).select("*", "_d.tool_label", "_d.status").drop("_d")

@@ -84,3 +84,56 @@ report AS (
          confidence, pred_idx, pred_label, probs, logits, class_names,
          {summary_sql('status', bot_topic_sql(), 'tool_label')} AS summary
   FROM classified)"""
+
+
+# ------------------------------------------------------------ text ----
+# Java's Unicode whitespace (what Spark's (?U)\s matches); DuckDB's \s is ASCII.
+WS_CHARS = (r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+            r"\x{202F}\x{205F}\x{3000}")
+WS = f"[{WS_CHARS}]"
+WORD = r"\pL\pN\pM_"
+
+
+def ustrip(expr: str) -> str:
+    return f"regexp_replace({expr}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def collapse(expr: str) -> str:
+    return ustrip(f"regexp_replace({expr}, '{WS}+', ' ', 'g')")
+
+
+def word_sub(expr: str, alternation: str, repl: str = "") -> str:
+    """Whole-word replacement with Unicode word boundaries (applied twice so
+    that adjacent matches sharing one separator are all replaced)."""
+    alt = alternation.replace(r"\s", WS).replace("'", "''")
+    pat = f"(^|[^{WORD}])({alt})([^{WORD}]|$)"
+    one = f"regexp_replace({expr}, '{pat}', '\\1{repl}\\3', 'g')"
+    return f"regexp_replace({one}, '{pat}', '\\1{repl}\\3', 'g')"
+
+
+def tokens_sql(expr: str) -> str:
+    return f"list_filter(regexp_split_to_array({expr}, '{WS}+'), lambda w: w <> '')"
+
+
+def sql_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def strip_fillers_sql(expr: str) -> str:
+    from utterscope.functions import lexicon as lx
+    out = f"lower({expr})"
+    for words in (lx.GREETINGS, lx.FILLERS, lx.META_TALK):
+        out = word_sub(out, "|".join(words))
+    return collapse(out)
+
+
+def discovery_clean_sql(expr: str) -> str:
+    from utterscope.functions import lexicon as lx
+    out = f"lower(coalesce({expr}, ''))"
+    for pattern, repl in lx.DOMAIN_REWRITES:
+        out = word_sub(out, pattern, repl)
+    out = f"regexp_replace({out}, '[^{lx.KEPT_CHARS}{WS_CHARS}]', ' ', 'g')"
+    drop = sql_list(dict.fromkeys(lx.STOPWORDS + lx.VOICE_FILLERS))
+    toks = (f"list_filter({tokens_sql(out)}, lambda w: NOT list_contains({drop}, w) "
+            "AND length(w) > 1 AND NOT regexp_full_match(w, '[0-9]+'))")
+    return f"array_to_string({toks}, ' ')"
