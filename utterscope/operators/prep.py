@@ -37,25 +37,35 @@ def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- B3 ----
-def dense_index(df: DataFrame, order_cols: list, out: str = "_pos") -> DataFrame:
-    """1-based dense position in ``order_cols`` order, without a global
-    single-partition window: sort (range-partitioned), tag rows with their
-    partition and in-partition offset, prefix-sum the per-partition counts
-    (one row per partition) and add.  The tagged frame is checkpointed so
-    both uses see the same partitioning."""
+def group_rank(df: DataFrame, by: list, order_cols: list, out: str = "_rank") -> DataFrame:
+    """Exact 1-based rank of each row within its ``by`` group in
+    ``order_cols`` order, with no single-task group: a range-partitioned
+    sort spreads even a hot group over many partitions; rows are tagged with
+    (partition, in-partition id); the per-(partition, group) counts — a
+    table of partitions x groups rows — are prefix-summed and joined back.
+    The tagged frame is checkpointed so every use sees one partitioning."""
     from utterscope.session import reliable_checkpoint, sized_broadcast
+    by = list(by)
     tagged = reliable_checkpoint(
-        df.orderBy(*order_cols)
+        df.orderBy(*by, *order_cols)
           .withColumn("_pid", F.spark_partition_id())
           .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = tagged.groupBy("_pid").agg(F.count("*").alias("_c"), F.min("_mid").alias("_m0"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    keys = ["_pid"] + by
+    counts = tagged.groupBy(*keys).agg(F.count("*").alias("_c"), F.min("_mid").alias("_m0"))
+    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    out_df = tagged.join(sized_broadcast(offsets.select("_pid", "_before", "_m0"), 1 << 20), "_pid")
+    small = sized_broadcast(offsets.select(*keys, "_before", "_m0"), 1 << 20)
+    out_df = tagged.join(small, keys) if by else tagged.join(small, "_pid")
     return out_df.withColumn(out, F.col("_before") + F.col("_mid") - F.col("_m0") + 1) \
                  .drop("_pid", "_mid", "_before", "_m0")
 
 
+def dense_index(df: DataFrame, order_cols: list, out: str = "_pos") -> DataFrame:
+    """1-based dense position in ``order_cols`` order (distributed
+    zip-with-index; no global single-partition window)."""
+    return group_rank(df, [], order_cols, out)
+
+
 def fill_missing_columns(df: DataFrame, order_cols: list) -> DataFrame:
     """``sim_{i}`` / ``timestamp_{i}`` (1-based position) when Interaction
     ID / Date/time are absent; empty Topic bot when absent."""

@@ -31,9 +31,15 @@ def class_distribution(df: DataFrame, label: str, top: int | None = 10) -> DataF
 
 
 def minmax_normalise(df: DataFrame, col: str, lo: float = 0.5, hi: float = 2.0,
-                     out: str | None = None) -> DataFrame:
-    """Min-max to [lo, hi]; a range below 1e-6 maps to the midpoint."""
-    mn, mx = F.min(col).over(_all()), F.max(col).over(_all())
+                     out: str | None = None, small: bool = False) -> DataFrame:
+    """Min-max to [lo, hi]; a range below 1e-6 maps to the midpoint.
+
+    On a small (class) table a window over () is used; on a large table the
+    bounds are two scalar subqueries (partial aggregates, no single task)."""
+    if small:
+        mn, mx = F.min(col).over(_all()), F.max(col).over(_all())
+    else:
+        mn, mx = df.agg(F.min(col)).scalar(), df.agg(F.max(col)).scalar()
     val = F.when(mx - mn < 1e-6, F.lit((lo + hi) / 2.0)).otherwise(
         F.lit(lo) + F.lit(hi - lo) * (F.col(col) - mn) / (mx - mn))
     return df.withColumn(out or col, val)
@@ -44,7 +50,7 @@ def balance_weights(counts: DataFrame, label: str) -> DataFrame:
     total = F.sum("n").over(_all())
     n_cls = F.count("*").over(_all())
     w = counts.withColumn("w_raw", total.cast("double") / (n_cls * F.greatest("n", F.lit(1))))
-    return minmax_normalise(w, "w_raw", 0.5, 2.0, out="w_norm")
+    return minmax_normalise(w, "w_raw", 0.5, 2.0, out="w_norm", small=True)
 
 
 def class_weights(df: DataFrame, label: str, dim: DataFrame | None = None) -> DataFrame:
