@@ -68,3 +68,14 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return d.join(lab, "doc_id")
+
+
+NOISE_LABEL_VALUE = 9
+
+
+def topic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as a clustered table: label = topic id, label 9 plays the
+    noise topic (-1).  (vec_id, topic_id, label, v)."""
+    e = vectors(spark, sf_dir)
+    return e.withColumn("topic_id", F.when(F.col("label") == NOISE_LABEL_VALUE, F.lit(-1))
+                        .otherwise(F.col("label")))
