@@ -26,16 +26,19 @@ def _unit(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def knn_join(df: DataFrame, key: str, vec: str, k: int = 20, n_pivots: int = 64,
-             seed: int = 42, extra: list[str] | None = None) -> DataFrame:
+             seed: int = 42, extra: list[str] | None = None, block_rows: int = 2048) -> DataFrame:
     """Top-k most cosine-similar rows per row (self included, as the
     reference does).  Output: (key, nb_<key>, rank, cos [, extra cols of
     both sides])."""
     from utterscope.session import reliable_checkpoint
     extra = list(extra or [])
     base = _unit(df.select(key, vec, *extra), key, vec).withColumn("_v", vx.as_double(vec)).drop(vec)
-    # 1. pivots: the n_pivots rows with the smallest seeded hash (bounded)
+    # 1. pivots: the P rows with the smallest seeded hash, P ~ one cell per
+    #    block of rows, capped by n_pivots (the per-row pivot arrays stay bounded)
+    n_rows = base.count()
+    n_piv = max(1, min(n_pivots, -(-n_rows // block_rows)))
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    piv = (base.select(h.alias("_h"), key, "_u").orderBy("_h", key).limit(n_pivots)
+    piv = (base.select(h.alias("_h"), key, "_u").orderBy("_h", key).limit(n_piv)
                .select(F.sort_array(F.collect_list(F.struct("_h", "_u"))).alias("_p")))
     pv = F.col("_pv")
     rows = base.withColumn("_pv0", piv.scalar()) \
@@ -56,11 +59,12 @@ def knn_join(df: DataFrame, key: str, vec: str, k: int = 20, n_pivots: int = 64,
     # pivot-to-pivot distances for the hyperplane bound
     pp = piv.select(F.transform("_p", lambda a: F.transform(
         F.col("_p"), lambda b: vx.euclidean(a["_u"], b["_u"]))).alias("_pp"))
-    q = rows.withColumn("_c", packed.scalar()).withColumn("_ppm", pp.scalar())
-    # per-cell stats aligned to the pivot positions (cells without rows -> null)
-    cell_at = lambda i: F.filter("_c", lambda c: c["cell"] == i)
-    q = q.withColumn("_cs", F.transform(F.sequence(F.lit(0), F.size("_pd") - 1),
-                                         lambda i: F.element_at(cell_at(i), 1)))
+    # per-cell stats aligned to the pivot positions (cells without rows ->
+    # null), built once on the one-row table, not per row
+    aligned = packed.select(F.transform(
+        F.sequence(F.lit(0), F.array_max(F.transform("_c", lambda c: c["cell"]))),
+        lambda i: F.try_element_at(F.filter("_c", lambda c: c["cell"] == i), F.lit(1))).alias("_cs"))
+    q = rows.withColumn("_cs", aligned.scalar()).withColumn("_ppm", pp.scalar())
     # upper bound on the k-th neighbour distance
     ub = F.array_min(F.filter(F.transform(F.arrays_zip(F.col("_pd").alias("d"), F.col("_cs").alias("s")),
                                           lambda z: z["d"] + z["s"]["rk"]), lambda x: x.isNotNull()))
@@ -70,24 +74,81 @@ def knn_join(df: DataFrame, key: str, vec: str, k: int = 20, n_pivots: int = 64,
 
     def lower(i):
         d = F.element_at("_pd", i + 1)
-        s = F.element_at("_cs", i + 1)
+        s = F.try_element_at("_cs", i + 1)
         dij = F.element_at(prow, i + 1)
         plane = F.when(dij > 0, (d * d - dh * dh) / (F.lit(2.0) * dij)).otherwise(F.lit(0.0))
         return F.when(i == F.col("cell"), F.lit(0.0)).otherwise(
             F.greatest(F.lit(0.0), d - s["radius"], plane))
 
     visit = F.filter(F.sequence(F.lit(0), F.size("_pd") - 1),
-                     lambda i: F.element_at("_cs", i + 1).isNotNull() & (lower(i) <= F.col("_ub") + 1e-9))
-    queries = q.select(F.col(key).alias("_q"), F.col("_v").alias("_qv"),
-                       *[F.col(c).alias(f"q_{c}") for c in extra], F.explode(visit).alias("cell"))
+                     lambda i: F.try_element_at("_cs", i + 1).isNotNull() & (lower(i) <= F.col("_ub") + 1e-9))
+    queries = reliable_checkpoint(
+        q.select(F.col(key).alias("_q"), F.col("_v").alias("_qv"),
+                 *[F.col(c).alias(f"q_{c}") for c in extra], F.explode(visit).alias("cell")))
     members = rows.select("cell", F.col(key).alias(f"nb_{key}"), F.col("_v").alias("_mv"),
                           *[F.col(c).alias(f"nb_{c}") for c in extra])
-    pairs = queries.join(members, "cell")
-    pairs = pairs.withColumn("cos", vx.cosine("_qv", "_mv"))
-    wr = Window.partitionBy("_q").orderBy(F.desc("cos"), F.col(f"nb_{key}"))
-    top = pairs.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= k)
-    return top.select(F.col("_q").alias(key), f"nb_{key}", "rank", "cos",
-                      *[F.col(f"q_{c}").alias(c) for c in extra], *[f"nb_{c}" for c in extra])
+    top = _cell_topk(queries, members, key, extra, k, block_rows)
+    wr = Window.partitionBy(key).orderBy(F.desc("cos"), F.col(f"nb_{key}"))
+    out = top.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= k)
+    return out.select(key, f"nb_{key}", "rank", "cos", *extra, *[f"nb_{c}" for c in extra])
+
+
+def _cell_topk(queries: DataFrame, members: DataFrame, key: str, extra: list, k: int,
+               block_rows: int) -> DataFrame:
+    """Per-cell top-k in bounded blocks.  A cell's visiting queries and its
+    members are each cut into blocks of about ``block_rows`` rows (counts
+    per cell: one small table); every (cell, query block, member block) is
+    one ``applyInPandas`` group computing a NumPy similarity block and
+    returning at most k candidates per query."""
+    from utterscope.session import sized_broadcast
+    import numpy as np
+    import pandas as pd
+
+    nq = queries.groupBy("cell").agg(F.count("*").alias("_nq"))
+    nm = members.groupBy("cell").agg(F.count("*").alias("_nm"))
+    blocks = (nq.join(nm, "cell")
+                .select("cell", F.ceil(F.col("_nq") / block_rows).cast("int").alias("_QB"),
+                        F.ceil(F.col("_nm") / block_rows).cast("int").alias("_MB")))
+    blocks = sized_broadcast(blocks, 1 << 20)
+    qs = (queries.join(blocks, "cell")
+                 .withColumn("qb", F.pmod(F.xxhash64("_q"), F.col("_QB")).cast("int"))
+                 .withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("_MB") - 1)))
+                 .select("cell", "qb", "mb", F.lit(True).alias("is_q"), F.col("_q").alias("id"),
+                         F.col("_qv").alias("vec"), *[F.col(f"q_{c}").alias(c) for c in extra]))
+    ms = (members.join(blocks, "cell")
+                 .withColumn("mb", F.pmod(F.xxhash64(f"nb_{key}"), F.col("_MB")).cast("int"))
+                 .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("_QB") - 1)))
+                 .select("cell", "qb", "mb", F.lit(False).alias("is_q"), F.col(f"nb_{key}").alias("id"),
+                         F.col("_mv").alias("vec"), *[F.col(f"nb_{c}").alias(c) for c in extra]))
+    tagged = qs.unionByName(ms)
+    ex_types = {f.name: f.dataType.simpleString() for f in members.schema.fields}
+    schema = ", ".join([f"{key} long", f"nb_{key} long", "cos double"]
+                       + [f"{c} {ex_types[f'nb_{c}']}" for c in extra]
+                       + [f"nb_{c} {ex_types[f'nb_{c}']}" for c in extra])
+    cols = [key, f"nb_{key}", "cos"] + list(extra) + [f"nb_{c}" for c in extra]
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = pdf[pdf.is_q]
+        m = pdf[~pdf.is_q]
+        if q.empty or m.empty:
+            return pd.DataFrame({c: [] for c in cols})
+        qv = np.stack(q["vec"].to_numpy()).astype(np.float64)
+        mv = np.stack(m["vec"].to_numpy()).astype(np.float64)
+        qn = np.sqrt((qv * qv).sum(1))
+        mn = np.sqrt((mv * mv).sum(1))
+        cos = (qv @ mv.T) / (qn[:, None] * mn[None, :])
+        kk = min(k, cos.shape[1])
+        idx = np.argpartition(-cos, kk - 1, axis=1)[:, :kk]
+        qi = np.repeat(np.arange(len(q)), kk)
+        mi = idx.ravel()
+        out = {key: q["id"].to_numpy()[qi], f"nb_{key}": m["id"].to_numpy()[mi],
+               "cos": cos[qi, mi]}
+        for c in extra:
+            out[c] = q[c].to_numpy()[qi]
+            out[f"nb_{c}"] = m[c].to_numpy()[mi]
+        return pd.DataFrame(out)
+
+    return tagged.groupBy("cell", "qb", "mb").applyInPandas(block, schema)
 
 
 def nearest_other_label(knn: DataFrame, key: str, label: str) -> DataFrame:
