@@ -13,6 +13,15 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def with_const(arr, const, fn) -> Column:
+    """``transform(arr, x -> fn(x, const))`` with ``const`` evaluated once
+    per row.  (An outer expression referenced inside a lambda is evaluated
+    for every element — and the optimizer inlines staged columns into
+    lambdas — so per-row constants travel through ``array_repeat``.)"""
+    a = _c(arr)
+    return F.zip_with(a, F.array_repeat(const, F.size(a)), fn)
+
+
 def as_double(col) -> Column:
     return F.transform(_c(col), lambda x: x.cast("double"))
 
@@ -47,31 +56,29 @@ def scale(a, k) -> Column:
 
 
 def unit(a) -> Column:
-    n = norm(a)
-    return F.transform(_c(a), lambda x: x / n)
+    return with_const(a, norm(a), lambda x, n: x / n)
 
 
 def softmax(logits, temperature=1.0) -> Column:
     """Max-shifted softmax of ``logits / temperature``."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    z = F.transform(_c(logits), lambda x: x / t)
-    m = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp(x - m))
-    s = array_sum(e)
-    return F.transform(e, lambda x: x / s)
+    z = with_const(logits, t, lambda x, tt: x / tt)
+    e = with_const(z, F.array_max(z), lambda x, m: F.exp(x - m))
+    return with_const(e, array_sum(e), lambda x, s: x / s)
 
 
 def log_sum_exp(col) -> Column:
+    """max + log(sum(exp(x - max))), the max carried in the accumulator."""
     z = _c(col)
-    m = F.array_max(z)
-    return m + F.log(array_sum(F.transform(z, lambda x: F.exp(x - m))))
+    acc = F.struct(F.array_max(z).alias("m"), F.lit(0.0).alias("s"))
+    return F.aggregate(z, acc, lambda a, x: F.struct(a["m"].alias("m"), (a["s"] + F.exp(x - a["m"])).alias("s")),
+                       lambda a: a["m"] + F.log(a["s"]))
 
 
 def log_softmax(logits, temperature=1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    z = F.transform(_c(logits), lambda x: x / t)
-    lse = log_sum_exp(z)
-    return F.transform(z, lambda x: x - lse)
+    z = with_const(logits, t, lambda x, tt: x / tt)
+    return with_const(z, log_sum_exp(z), lambda x, lse: x - lse)
 
 
 def argmax(col) -> Column:

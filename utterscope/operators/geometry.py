@@ -151,7 +151,7 @@ def assign_topics(fit: DataFrame, new: DataFrame, key: str, topic: str, vec: str
     packed = t.agg(F.sort_array(F.collect_list("c")).alias("_cs"))
     v = vx.as_double(vec)
     out = new.withColumn("_cs", packed.scalar())
-    out = out.withColumn("_d", F.transform("_cs", lambda c: vx.euclidean(v, c["centroid"])))
+    out = out.withColumn("_d", vx.with_const("_cs", v, lambda c, x: vx.euclidean(x, c["centroid"])))
     best = vx.argmax(F.transform("_d", lambda d: -d))
     out = out.withColumn("_i", best + 1)
     near = F.element_at("_cs", F.col("_i"))

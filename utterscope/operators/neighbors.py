@@ -43,7 +43,7 @@ def knn_join(df: DataFrame, key: str, vec: str, k: int = 20, n_pivots: int = 64,
     pv = F.col("_pv")
     rows = base.withColumn("_pv0", piv.scalar()) \
                .withColumn("_pv", F.transform("_pv0", lambda e: e["_u"])).drop("_pv0")
-    rows = rows.withColumn("_pd", F.transform(pv, lambda p: vx.euclidean(F.col("_u"), p)))
+    rows = rows.withColumn("_pd", vx.with_const(pv, F.col("_u"), lambda p, u: vx.euclidean(u, p)))
     rows = rows.withColumn("cell", vx.argmax(F.transform("_pd", lambda d: -d))).drop("_pv")
     rows = reliable_checkpoint(rows)
     # 2. cell statistics: radius, and the k-th smallest pivot distance
@@ -69,19 +69,22 @@ def knn_join(df: DataFrame, key: str, vec: str, k: int = 20, n_pivots: int = 64,
     ub = F.array_min(F.filter(F.transform(F.arrays_zip(F.col("_pd").alias("d"), F.col("_cs").alias("s")),
                                           lambda z: z["d"] + z["s"]["rk"]), lambda x: x.isNotNull()))
     q = q.withColumn("_ub", F.coalesce(ub, F.lit(float("inf"))))
-    dh = F.element_at("_pd", F.col("cell") + 1)
-    prow = F.element_at("_ppm", F.col("cell") + 1)
-
-    def lower(i):
-        d = F.element_at("_pd", i + 1)
-        s = F.try_element_at("_cs", i + 1)
-        dij = F.element_at(prow, i + 1)
+    def lower(i, r):
+        d = F.element_at(r["pd"], i + 1)
+        cs = F.try_element_at(r["cs"], i + 1)
+        dh = F.element_at(r["pd"], r["cell"] + 1)
+        dij = F.element_at(r["prow"], i + 1)
         plane = F.when(dij > 0, (d * d - dh * dh) / (F.lit(2.0) * dij)).otherwise(F.lit(0.0))
-        return F.when(i == F.col("cell"), F.lit(0.0)).otherwise(
-            F.greatest(F.lit(0.0), d - s["radius"], plane))
-
-    visit = F.filter(F.sequence(F.lit(0), F.size("_pd") - 1),
-                     lambda i: F.try_element_at("_cs", i + 1).isNotNull() & (lower(i) <= F.col("_ub") + 1e-9))
+        return F.when(i == r["cell"], F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), d - cs["radius"], plane))
+
+    # per-row values enter the lambda through one repeated struct (see
+    # vectors.with_const): evaluated once per row, not once per cell
+    ctx = F.struct(F.col("_pd").alias("pd"), F.col("_cs").alias("cs"), F.col("cell").alias("cell"),
+                   F.col("_ub").alias("ub"), F.element_at("_ppm", F.col("cell") + 1).alias("prow"))
+    visit = F.filter(
+        vx.with_const(F.sequence(F.lit(0), F.size("_pd") - 1), ctx, lambda i, r: F.struct(i.alias("i"), r.alias("r"))),
+        lambda z: F.try_element_at(z["r"]["cs"], z["i"] + 1).isNotNull() & (lower(z["i"], z["r"]) <= z["r"]["ub"] + 1e-9))
+    visit = F.transform(visit, lambda z: z["i"])
     queries = reliable_checkpoint(
         q.select(F.col(key).alias("_q"), F.col("_v").alias("_qv"),
                  *[F.col(c).alias(f"q_{c}") for c in extra], F.explode(visit).alias("cell")))

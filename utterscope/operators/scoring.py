@@ -45,12 +45,14 @@ def _packed(classes: DataFrame) -> DataFrame:
 
 
 def _logit_expr(v: Column, cl: Column, metric: str, scale: float) -> Column:
+    """One logit per class; the row vector (and its norm) enters each class
+    lambda through ``with_const`` so it is computed once per row."""
     s = F.lit(float(scale))
     if metric == "cosine":
-        nv = vx.norm(v)
-        return F.transform(cl, lambda c: s * vx.dot(v, c.centroid) / (nv * c.cnorm))
+        row = F.struct(v.alias("v"), vx.norm(v).alias("n"))
+        return vx.with_const(cl, row, lambda c, r: s * vx.dot(r["v"], c["centroid"]) / (r["n"] * c["cnorm"]))
     if metric == "neg_euclidean":
-        return F.transform(cl, lambda c: -s * vx.euclidean(v, c.centroid))
+        return vx.with_const(cl, v, lambda c, r: -s * vx.euclidean(r, c["centroid"]))
     raise ValueError(f"unknown metric {metric}")
 
 
@@ -97,14 +99,12 @@ def centroid_logits(df: DataFrame, classes: DataFrame, vec: str, key: str,
 # ---------------------------------------------------------- C1 / C2 ----
 def softmax_temperature(df: DataFrame, logits: str = "logits", temperature: float = 1.0,
                         out: str = "probs") -> DataFrame:
-    """C1, staged so that each array is computed once per row."""
+    """C1, staged: every intermediate array is referenced several times by
+    the next step, so the optimizer keeps it computed once per row."""
     t = F.lit(float(temperature))
-    return (df.withColumn("_z", F.transform(logits, lambda x: x / t))
-              .withColumn("_m", F.array_max("_z"))
-              .withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.col("_m"))))
-              .withColumn("_s", vx.array_sum("_e"))
-              .withColumn(out, F.transform("_e", lambda x: x / F.col("_s")))
-              .drop("_z", "_m", "_e", "_s"))
+    z = df.withColumn("_z", vx.with_const(logits, t, lambda x, tt: x / tt))
+    e = z.withColumn("_e", vx.with_const("_z", F.array_max("_z"), lambda x, m: F.exp(x - m)))
+    return e.withColumn(out, vx.with_const("_e", vx.array_sum("_e"), lambda x, s: x / s)).drop("_z", "_e")
 
 
 def argmax_confidence(df: DataFrame, probs: str = "probs") -> DataFrame:
@@ -141,11 +141,12 @@ def classify(df: DataFrame, temperature: float, threshold: float,
     ``probs`` is built separately and pruned when unused.
     """
     t = F.lit(float(temperature))
-    out = df.withColumn("_zmax", F.array_max("logits") / t)
-    out = (out.withColumn("pred_idx", (F.array_position("logits", F.array_max("logits")) - 1).cast("int"))
-              .withColumn("confidence", F.lit(1.0) / F.aggregate(
-                  "logits", F.lit(0.0), lambda a, x: a + F.exp(x / t - F.col("_zmax"))))
-              .drop("_zmax"))
+    acc = F.struct((F.array_max("logits") / t).alias("m"), F.lit(0.0).alias("s"))
+    conf = F.aggregate("logits", acc,
+                       lambda a, x: F.struct(a["m"].alias("m"), (a["s"] + F.exp(x / t - a["m"])).alias("s")),
+                       lambda a: F.lit(1.0) / a["s"])
+    out = (df.withColumn("pred_idx", (F.array_position("logits", F.array_max("logits")) - 1).cast("int"))
+             .withColumn("confidence", conf))
     out = softmax_temperature(out, "logits", temperature)
     out = out.withColumn("pred_label", vx.at("class_names", F.col("pred_idx")))
     d = decide_status(F.col("pred_label"), F.col("confidence"), threshold, nomatch)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from utterscope.functions import vectors as vx
 from utterscope.operators import metrics as mt
 from utterscope.operators import scoring as sc
 from utterscope.plans import sql as q
@@ -253,12 +254,7 @@ def evaluation_sweep(spark, sf):
                          for t, h in SWEEP])
     x = s.select("vec_id", "true_label", "class_names", "logits", F.explode(settings).alias("st"))
     x = x.select("*", "st.temperature", "st.threshold").drop("st")
-    t = F.col("temperature")
-    x = (x.withColumn("_z", F.transform("logits", lambda v: v / t))
-          .withColumn("_m", F.array_max("_z"))
-          .withColumn("_e", F.transform("_z", lambda v: F.exp(v - F.col("_m"))))
-          .withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda a, v: a + v))
-          .withColumn("probs", F.transform("_e", lambda v: v / F.col("_s"))))
+    x = x.withColumn("probs", vx.softmax("logits", F.col("temperature")))
     x = sc.argmax_confidence(x).withColumn("pl", F.element_at("class_names", F.col("pred_idx") + 1))
     d = sc.decide_status(F.col("pl"), F.col("confidence"), 0.0)
     pred = (F.when(F.col("pl") == "NOMATCH", F.lit("NOMATCH"))

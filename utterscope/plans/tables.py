@@ -79,3 +79,13 @@ def topic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = vectors(spark, sf_dir)
     return e.withColumn("topic_id", F.when(F.col("label") == NOISE_LABEL_VALUE, F.lit(-1))
                         .otherwise(F.col("label")))
+
+
+def topic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clustered utterances for the discovery reports: embeddings (label =
+    topic, 9 = noise) joined to document texts on vec_id = doc_id, with the
+    discovery-cleaned text.  (vec_id, topic_id, v, text, cleaned)."""
+    from utterscope.functions import text as tx
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return (topic_vectors(spark, sf_dir).join(d, "vec_id")
+            .withColumn("cleaned", tx.clean_for_discovery("text")))
