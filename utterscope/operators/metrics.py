@@ -39,20 +39,22 @@ def label_universe(df: DataFrame, true="true_label", pred="pred_label") -> DataF
     return df.select(F.col(true).alias("label")).union(df.select(F.col(pred).alias("label"))).distinct()
 
 
-def per_label_counts(df: DataFrame, true="true_label", pred="pred_label") -> DataFrame:
-    """(label, tp, fp, fn, support) over the label union."""
-    pairs = df.groupBy(F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("c"))
-    tp = pairs.where(F.col("t") == F.col("p")).select(F.col("t").alias("label"), F.col("c").alias("tp"))
-    sup = pairs.groupBy(F.col("t").alias("label")).agg(F.sum("c").alias("support"))
-    predicted = pairs.groupBy(F.col("p").alias("label")).agg(F.sum("c").alias("n_pred"))
-    u = sup.join(predicted, "label", "full").join(tp, "label", "left").na.fill(0, ["support", "n_pred", "tp"])
-    return u.select("label", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"),
+def per_label_counts(df: DataFrame, true="true_label", pred="pred_label", by: list | None = None) -> DataFrame:
+    """(by..., label, tp, fp, fn, support) over the label union (per group)."""
+    by = list(by or [])
+    pairs = df.groupBy(*by, F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("c"))
+    tp = pairs.where(F.col("t") == F.col("p")).select(*by, F.col("t").alias("label"), F.col("c").alias("tp"))
+    sup = pairs.groupBy(*by, F.col("t").alias("label")).agg(F.sum("c").alias("support"))
+    predicted = pairs.groupBy(*by, F.col("p").alias("label")).agg(F.sum("c").alias("n_pred"))
+    keys = by + ["label"]
+    u = sup.join(predicted, keys, "full").join(tp, keys, "left").na.fill(0, ["support", "n_pred", "tp"])
+    return u.select(*keys, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"),
                     (F.col("support") - F.col("tp")).alias("fn"), "support")
 
 
-def per_label_prf(df: DataFrame, true="true_label", pred="pred_label") -> DataFrame:
+def per_label_prf(df: DataFrame, true="true_label", pred="pred_label", by: list | None = None) -> DataFrame:
     """precision/recall/F1 per label, 0 where undefined (zero_division = 0)."""
-    c = per_label_counts(df, true, pred)
+    c = per_label_counts(df, true, pred, by)
     p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
     out = c.withColumn("precision", p).withColumn("recall", r)
@@ -61,11 +63,12 @@ def per_label_prf(df: DataFrame, true="true_label", pred="pred_label") -> DataFr
     return out.withColumn("f1", f1)
 
 
-def f1_scores(df: DataFrame, true="true_label", pred="pred_label") -> DataFrame:
+def f1_scores(df: DataFrame, true="true_label", pred="pred_label", by: list | None = None) -> DataFrame:
     """E6 + E7: weighted F1 (by true support) and macro F1 over the label union."""
-    prf = per_label_prf(df, true, pred)
-    return prf.agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"),
-                   F.avg("f1").alias("f1_macro"))
+    prf = per_label_prf(df, true, pred, by)
+    return prf.groupBy(*(by or [])).agg(
+        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"),
+        F.avg("f1").alias("f1_macro"))
 
 
 def classification_report(df: DataFrame, true="true_label", pred="pred_label") -> DataFrame:
