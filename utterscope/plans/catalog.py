@@ -7,14 +7,10 @@ import importlib
 from utterscope.plans.registry import ORACLES, QUERIES
 
 _MODULES = ["q_scoring", "q_metrics", "q_prep", "q_splits", "q_geometry",
-            "q_pairs", "q_topics", "q_models"]
+            "q_topics", "q_models", "q_discovery"]
 
 for _m in _MODULES:
-    try:
-        importlib.import_module(f"utterscope.plans.{_m}")
-    except ModuleNotFoundError as e:  # modules are added progressively
-        if e.name != f"utterscope.plans.{_m}":
-            raise
+    importlib.import_module(f"utterscope.plans.{_m}")
 
 
 def queries() -> dict:
