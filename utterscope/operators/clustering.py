@@ -5,7 +5,8 @@
 * H7 reduction: L2 normalise + PCA (linear; the reference uses UMAP).
 * H8 density clusters: a flat cut of the mutual-reachability graph —
   exact kNN graph (F6) -> core distance (min_samples-th neighbour) ->
-  edges with max(core_i, core_j, d_ij) <= eps -> connected components by
+  edges with max(core_i, core_j, d_ij) <= eps (default: twice the median
+  core distance) -> connected components by
   min-label propagation (checkpointed every round) -> components smaller
   than min_cluster_size become noise (-1); ids by size desc.  This is not
   HDBSCAN's excess-of-mass selection.
@@ -72,8 +73,9 @@ def density_cluster(df: DataFrame, key: str, vec: str, min_cluster_size: int = 3
     # core distance: distance to the min_samples-th other row (rank 1 = self)
     core = knn.where(F.col("rank") == min_samples + 1).select(key, F.col("d").alias("core"))
     if eps is None:
-        eps = exact_median(core, "core").select("median").scalar()
-        eps = core.sparkSession.range(1).select(eps).first()[0]
+        # default cut: twice the (exact) median core distance
+        med = exact_median(core, "core").select("median").scalar()
+        eps = 2.0 * core.sparkSession.range(1).select(med).first()[0]
     e = (knn.where(F.col("rank") > 1).select(F.col(key).alias("src"), F.col(f"nb_{key}").alias("dst"), "d")
             .join(core.select(F.col(key).alias("src"), F.col("core").alias("c1")), "src")
             .join(core.select(F.col(key).alias("dst"), F.col("core").alias("c2")), "dst")
