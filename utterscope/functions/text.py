@@ -63,12 +63,17 @@ def strip_fillers(col, greetings=lx.GREETINGS, fillers=lx.FILLERS,
 
 def normalise_rule_based(col, min_words: int = 3, **lists) -> Column:
     """Rule-based normaliser: empty -> ''; cleaned text shorter than
-    ``min_words`` words (or empty) -> the raw text; else the cleaned text."""
-    raw = _c(col)
-    clean = strip_fillers(raw, **lists)
-    return (F.when(raw.isNull() | (raw == ""), F.lit(""))
-            .when((clean == "") | (word_count(clean) < min_words), raw)
-            .otherwise(clean))
+    ``min_words`` words (or empty) -> the raw text; else the cleaned text.
+    (When the cleaned text is already a column, use ``normalise_from_clean``
+    so the regex chain runs once per row.)"""
+    return normalise_from_clean(col, strip_fillers(_c(col), **lists), min_words)
+
+
+def normalise_from_clean(raw, clean, min_words: int = 3) -> Column:
+    r, c = _c(raw), _c(clean)
+    return (F.when(r.isNull() | (r == ""), F.lit(""))
+            .when((c == "") | (word_count(c) < min_words), r)
+            .otherwise(c))
 
 
 def guard_generated(generated, fallback, max_ratio: float = 1.5,

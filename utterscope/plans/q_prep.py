@@ -104,9 +104,8 @@ FROM c"""
 @query("rule_normalised", RULE_SQL)
 def rule_normalised(spark, sf):
     """B7 + B8 on whole documents."""
-    d = tb.table(spark, sf, "documents")
-    return d.select("doc_id", tx.strip_fillers("text").alias("cleaned"),
-                    tx.normalise_rule_based("text").alias("normalised"))
+    d = tb.table(spark, sf, "documents").withColumn("cleaned", tx.strip_fillers("text"))
+    return d.select("doc_id", "cleaned", tx.normalise_from_clean("text", "cleaned").alias("normalised"))
 
 
 DISC_SQL = f"""SELECT doc_id, lang, {q.discovery_clean_sql('text')} AS cleaned FROM documents"""

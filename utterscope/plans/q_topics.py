@@ -133,7 +133,9 @@ def _with_prob(spark, sf):
     own = F.filter(F.arrays_zip("topic_ids", "probs"), lambda z: z["topic_ids"] == F.col("topic_id"))
     m = m.select("vec_id", F.when(F.col("topic_id") == -1, F.lit(0.0))
                  .otherwise(F.element_at(own, 1)["probs"]).alias("p"))
-    return t.join(m, "vec_id")
+    # materialised once: keywords, sizes and representatives all read it
+    from utterscope.session import reliable_checkpoint
+    return reliable_checkpoint(t.join(m, "vec_id"))
 
 
 @query("representative_rows", f"""WITH {MEMB_SQL}
