@@ -60,8 +60,13 @@ def nll_at_temperature(spark, sf):
 SELECT round(t, 6) AS temperature, round(nll, 6) AS nll FROM b3""")
 def fit_temperature(spark, sf):
     """I4: temperature minimising the NLL (grid + two refinements)."""
+    from utterscope.session import scratch_table_path
+    from utterscope.sources import writers as wr
     t, nll = cb.fit_temperature(tb.scored(spark, sf), "logits", "label")
-    return spark.createDataFrame([(t, nll)], "temperature double, nll double").select(
+    path = scratch_table_path(spark, "calibration")
+    wr.save_calibration(spark, t, path, nll)          # A8: persisted, then read back
+    t_loaded = wr.load_calibration(spark, path)
+    return spark.read.parquet(path).where(F.col("temperature") == t_loaded).select(
         F.round("temperature", R6).alias("temperature"), F.round("nll", R6).alias("nll"))
 
 

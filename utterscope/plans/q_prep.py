@@ -88,9 +88,13 @@ def text_preview(spark, sf):
 @query("drop_incomplete", f"""SELECT d.doc_id, {q.ustrip("CAST(d.text AS VARCHAR)")} AS text, CAST(l.quality AS VARCHAR) AS intent
 FROM documents d JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL AND l.quality IS NOT NULL""")
 def drop_incomplete(spark, sf):
-    """A2 + B5: labelled rows, nulls dropped, text stripped."""
-    ld = tb.labelled_documents(spark, sf).select(
-        "doc_id", "text", F.col("quality").cast("string").alias("intent"))
+    """A2 + B5: labelled rows (written as a labelled-utterance parquet and
+    read back through the reader), nulls dropped, text stripped."""
+    from utterscope.session import scratch_table_path
+    path = scratch_table_path(spark, "labelled")
+    tb.labelled_documents(spark, sf).select(
+        "doc_id", "text", F.col("quality").cast("string").alias("intent")).write.mode("overwrite").parquet(path)
+    ld = rd.read_labelled(spark, path, "text", "intent", keep=["doc_id"])
     return pp.drop_incomplete(ld, "text", "intent")
 
 
@@ -176,8 +180,14 @@ SELECT conv_id, turn, CAST({2 + 2 * len(EXAMPLES)} AS INTEGER) AS n_messages,
   'Input: ' || CASE WHEN length(clean) > 3 THEN clean ELSE text END AS user_content FROM j""")
 def chat_messages(spark, sf):
     """B10 + F2: system prompt with intent description, few-shot pairs, input."""
+    import json
+    from utterscope.session import scratch_table_path
+    path = scratch_table_path(spark, "examples-json")
+    doc = json.dumps([{"input": i, "output": o} for i, o in EXAMPLES])
+    spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    examples = rd.read_examples(spark, path)          # A4: few-shot examples file
     u = tb.utterances(spark, sf)
-    m = pp.build_chat_messages(u, "text", "role", intent_dim(spark), EXAMPLES)
+    m = pp.build_chat_messages(u, "text", "role", intent_dim(spark), examples)
     return m.select("conv_id", "turn", F.size("messages").alias("n_messages"),
                     F.element_at("messages", 1)["content"].alias("system_content"),
                     F.element_at("messages", -1)["content"].alias("user_content"))
@@ -268,4 +278,4 @@ def write_report_roundtrip(spark, sf):
     path = scratch_table_path(spark, "report-csv")
     rep = report(spark, sf).select("vec_id", "tool_label", "status", "summary")
     wr.write_report(rep, path, "csv")
-    return rd.read_csv_strings(spark, path).select("vec_id", "tool_label", "status", "summary")
+    return rd.read_predictions(spark, path, fmt="csv").select("vec_id", "tool_label", "status", "summary")

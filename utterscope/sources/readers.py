@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -51,13 +49,11 @@ def read_utterances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labelled(spark: SparkSession, path: str, text: str = "text",
-                  label: str = "intent") -> DataFrame:
-    """A2: labelled utterances (parquet or CSV)."""
-    if path.endswith(".parquet") or os.path.isdir(path) and not path.endswith(".csv"):
-        df = spark.read.parquet(path)
-    else:
-        df = read_csv_strings(spark, path)
-    return df.select(F.col(text).cast("string").alias(text), F.col(label).cast("string").alias(label))
+                  label: str = "intent", keep: list[str] | None = None) -> DataFrame:
+    """A2: labelled utterances (parquet, or CSV when the path ends in .csv)."""
+    df = read_csv_strings(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
+    return df.select(*(keep or []), F.col(text).cast("string").alias(text),
+                     F.col(label).cast("string").alias(label))
 
 
 def read_intent_dim(spark: SparkSession, path: str | None) -> DataFrame:
@@ -82,8 +78,8 @@ def read_examples(spark: SparkSession, path: str | None, max_examples: int = 100
     return [(r["input"], r["output"]) for r in rows if r["input"] is not None]
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A5: a prediction report (CSV or parquet) as discovery input."""
-    if path.endswith(".csv"):
+    if fmt == "csv" or (fmt is None and path.endswith(".csv")):
         return read_csv_strings(spark, path)
     return spark.read.parquet(path)
