@@ -51,13 +51,44 @@ def text_preview(col, n: int) -> Column:
     return F.substring(_c(col), 1, n)
 
 
+NEVER = "(?!)"  # a pattern that matches nowhere
+
+
+def required_literals(alternation: str) -> list[str]:
+    """One literal that every match of each alternative must contain (its
+    longest plain run), for a cheap substring pre-check."""
+    import re
+    out = []
+    for alt in alternation.split("|"):
+        runs = [r for r in re.split(r"\\s\?|\\s|[?*+()\[\]]", alt) if r]
+        out.append(max(runs, key=len) if runs else "")
+    return out
+
+
+def guarded_pattern(base: Column, alternation: str, pattern: str) -> Column:
+    """``pattern`` on rows whose original text contains one of the rule's
+    literals, a never-matching pattern elsewhere: the regex scan is skipped
+    for rows that cannot match.  Guarding on the original text is exact
+    because no rule's output creates a whole-word match for a later rule."""
+    lits = required_literals(alternation)
+    if any(not x for x in lits):
+        return F.lit(pattern)
+    cond = None
+    for lit in dict.fromkeys(lits):
+        c = F.instr(base, lit) > 0
+        cond = c if cond is None else (cond | c)
+    return F.when(cond, F.lit(pattern)).otherwise(F.lit(NEVER))
+
+
 def strip_fillers(col, greetings=lx.GREETINGS, fillers=lx.FILLERS,
                   meta_talk=lx.META_TALK) -> Column:
     """Lower-case, delete whole-word greetings, fillers and meta talk (in
     that order), collapse whitespace."""
-    out = F.lower(_c(col))
+    base = F.lower(_c(col))
+    out = base
     for words in (greetings, fillers, meta_talk):
-        out = F.regexp_replace(out, rf"(?U)\b({_alternation(words)})\b", "")
+        alt = _alternation(words)
+        out = F.regexp_replace(out, guarded_pattern(base, alt, rf"(?U)\b({alt})\b"), F.lit(""))
     return collapse_spaces(out)
 
 
@@ -86,9 +117,10 @@ def guard_generated(generated, fallback, max_ratio: float = 1.5,
 
 def discovery_rewrite(col, rewrites=lx.DOMAIN_REWRITES) -> Column:
     """Lower-case and apply the ordered domain rewrites."""
-    out = F.lower(F.coalesce(_c(col), F.lit("")))
+    base = F.lower(F.coalesce(_c(col), F.lit("")))
+    out = base
     for pattern, repl in rewrites:
-        out = F.regexp_replace(out, rf"(?U)\b({pattern})\b", repl)
+        out = F.regexp_replace(out, guarded_pattern(base, pattern, rf"(?U)\b({pattern})\b"), F.lit(repl))
     return out
 
 
