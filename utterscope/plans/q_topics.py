@@ -51,7 +51,7 @@ def _docs(spark, sf):
 SELECT topic AS lang, term, tf FROM cnt""")
 def ngram_counts(spark, sf):
     """H1: unigram + bigram counts per topic (lang) over cleaned documents."""
-    c = tp.ngram_counts(_docs(spark, sf), "cleaned", "lang")
+    c = tp.ngram_counts(_docs(spark, sf), "cleaned", "lang", pre_cleaned=True)
     return c.select("lang", "term", "tf")
 
 
@@ -59,7 +59,7 @@ def ngram_counts(spark, sf):
 SELECT topic AS lang, CAST(rank AS INTEGER) AS rank, term, round(score, 6) AS score FROM kw""")
 def topic_keywords(spark, sf):
     """H2 + H3: document-frequency pruning and top-10 c-TF-IDF terms."""
-    k = tp.topic_keywords(_docs(spark, sf), "cleaned", "lang", 10)
+    k = tp.topic_keywords(_docs(spark, sf), "cleaned", "lang", 10, pre_cleaned=True)
     return k.select("lang", "rank", "term", F.round("score", R6).alias("score"))
 
 
