@@ -66,7 +66,7 @@ def topic_keywords(spark, sf):
 @query("mmr_keywords")
 def mmr_keywords(spark, sf):
     """H4: MMR re-ranking (diversity 0.4) of 30 candidates per topic."""
-    k = tp.topic_keywords(_docs(spark, sf), "cleaned", "lang", 30)
+    k = tp.topic_keywords(_docs(spark, sf), "cleaned", "lang", 30, pre_cleaned=True)
     return tp.mmr_keywords(k, "lang", 10, 0.4)
 
 
