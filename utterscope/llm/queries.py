@@ -11,8 +11,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterscope.llm import bpe_codec, packing, secrets, token_counts
-from utterscope.llm.common import bounded_batches, table
+from utterscope.llm import (
+    approx_neighbors,
+    bpe_codec,
+    language,
+    packing,
+    secrets,
+    simhash,
+    token_counts,
+    vector_dups,
+)
+from utterscope.llm.common import bounded_batches, ship_package, table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -28,9 +37,14 @@ def register(name: str):
     return keep
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     bounded_batches(spark)
-    return table(spark, sf_dir, "documents")
+    return table(spark, sf_dir, name)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, "documents")
 
 
 @register("op2_token_counts")
@@ -57,3 +71,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_secrets")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digest(secrets.scan_secrets(documents(spark, sf_dir)))
+
+
+@register("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learn_and_predict(documents(spark, sf_dir))
+
+
+@register("op8_lsh_forest")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = rows(spark, sf_dir, "embeddings")
+    return approx_neighbors.nearest(vectors, F.pmod("vec_id", F.lit(100)) == 0, k=10)
+
+
+@register("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@register("op10_vector_dups")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_duplicates(rows(spark, sf_dir, "embeddings"), threshold=0.9)

@@ -190,9 +190,12 @@ def span_digest(scanned: DataFrame) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"])), ",")
 
+    def number(kind: str):
+        return F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+
     base = [k for k, *_ in BASE]
     return scanned.select(
         "doc_id",
-        *[F.size(F.filter("kinds", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in base],
+        *map(number, base),
         F.sha2(joined(F.filter(at, lambda s: s["kinds"].isin(base))), 256).alias("base_sha256"),
         joined(at).alias("spans"))
