@@ -93,7 +93,7 @@ def _encoder(path: str) -> tuple[ByteVocabulary, Chunks]:
     vocab = vocabulary(path)
     encoder = PrefixEncoder(vocab)
     return vocab, Chunks(lambda chunks: [
-        tuple(chain.from_iterable(encoder.encode(w.encode()) for w in pretokens(c))) for c in chunks], 250_000)
+        tuple(chain.from_iterable(encoder.encode(w.encode()) for w in pretokens(c))) for c in chunks], 300_000)
 
 
 def encode_texts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
@@ -106,10 +106,10 @@ def encode_texts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
     """
     def batch(ids: list, values: list) -> dict:
         vocab, chunks = _encoder(vocab_path)
-        split = [[CHUNK.findall(s) if isinstance(s, str) else s for s in vocab.segments(t)] for t in values]
-        known = chunks.cover([s for parts in split for s in parts if isinstance(s, list)])
-        out = [list(chain.from_iterable(chain.from_iterable(map(known.__getitem__, s)) if isinstance(s, list) else [s]
-                                        for s in parts)) for parts in split]
+        parts = [vocab.segments(t) for t in values]
+        found = iter(chunks.values([CHUNK.findall(s) for p in parts for s in p if isinstance(s, str)]))
+        out = [list(chain.from_iterable(chain.from_iterable(next(found)) if isinstance(s, str) else [s] for s in p))
+               for p in parts]
         return {"doc_id": ids, "ids": pa.array(out, type=pa.list_(pa.int32()))}
 
     return map_texts(texts(docs, id_col, text_col), batch, "doc_id long, ids array<int>")

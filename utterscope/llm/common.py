@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Rows that travel to a Python worker together.  Texts may be very long, so
 # the batch is small; the result of no operator depends on it.
 BATCH_ROWS = 400
+# Characters of text that an operator works on at a time, beyond one text.
+BATCH_CHARS = 2_000_000
 
 
 _shipped: set[str] = set()
@@ -53,25 +55,31 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def map_texts(docs: DataFrame, fn: Callable[[list, list], dict], schema: str) -> DataFrame:
     """Apply ``fn(ids, texts) -> {column: values}`` to batches of
     (doc_id, text); ``schema`` is the DDL of the returned columns."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    arrow_schema = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = fn(b.column(0).to_pylist(), b.column(1).to_pylist())
-            yield pa.RecordBatch.from_pydict({n: _array(out[n]) for n in names})
-
-    def _array(v):
-        return v if isinstance(v, pa.Array) else pa.array(v)
-
-    def typed(batches):
-        target = None
-        for b in run(batches):
-            if target is None:
-                target = arrow_schema
-            yield b.cast(target)
-
-    arrow_schema = to_arrow(schema)
-    return docs.mapInArrow(typed, schema)
+            ids, values = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lo, hi in stretches(values):
+                out = fn(ids[lo:hi], values[lo:hi])
+                yield pa.RecordBatch.from_arrays(
+                    [_array(out[f.name], f.type) for f in arrow_schema], schema=arrow_schema)
+
+    def _array(v, kind):
+        return v.cast(kind) if isinstance(v, pa.Array) else pa.array(v, type=kind)
+
+    return docs.mapInArrow(run, schema)
+
+
+def stretches(values: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``BATCH_CHARS`` characters, one text
+    at least."""
+    at, size = 0, 0
+    for i, v in enumerate(values):
+        size += len(v)
+        if size >= BATCH_CHARS or i == len(values) - 1:
+            yield at, i + 1
+            at, size = i + 1, 0
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(),

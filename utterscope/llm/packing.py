@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from utterscope.llm.common import map_texts, texts
 from utterscope.llm.pretokens import LOWER_WORDS, SPACES, Chunks, vocabulary
-from utterscope.llm.token_counts import RankTable, merge_by_rank, ragged
+from utterscope.llm.token_counts import RankTable, merge_by_rank
 
 
 def binary_pieces(n: int, longest: int) -> list[int]:
@@ -42,6 +42,17 @@ def _tokenizer(path: str) -> Chunks:
     def plain(word: str) -> bool:
         return bool(_LATIN.fullmatch(word)) and not ("<|" in word and any(a in word for a in vocab.added))
 
+    def _first_symbols(codes: np.ndarray, piece_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First symbols and piece of each byte, in UTF-8, of Latin-1 codes."""
+        width = 1 + (codes >= 128)
+        flat, owner = np.repeat(codes, width), np.repeat(piece_of, width).astype(np.int32)
+        second = np.zeros(len(flat), dtype=bool)
+        second[(np.cumsum(width) - 1)[width == 2]] = True
+        wide = flat >= 128
+        flat = np.where(second, 0x80 | flat & 0x3F, np.where(wide, 0xC0 | flat >> 6, flat)).astype(np.uint8)
+        last = np.r_[owner[1:] != owner[:-1], True] if len(owner) else owner > 0
+        return np.where(last, vocab.end_ids[flat], vocab.byte_ids[flat]).astype(np.int32), owner
+
     def learn(words: list[str]) -> list[bytes]:
         """Ids of words.  ASCII and Latin-1 words without an added token are
         merged as one ragged array, any other goes through the library."""
@@ -51,10 +62,15 @@ def _tokenizer(path: str) -> Chunks:
         else:
             own = [i for i, w in enumerate(words) if plain(w)]
             joined = "\n".join([words[i] for i in own])
-        pieces = [x.encode() for x in LOWER_WORDS.findall(joined.lower())]
-        line = np.fromiter((x == b"\n" for x in pieces), dtype=bool, count=len(pieces))
+        pieces = LOWER_WORDS.findall(joined.lower())
+        codes = np.frombuffer("".join(pieces).encode("latin-1"), dtype=np.uint8)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        starts = np.cumsum(sizes) - sizes
+        line = codes[starts] == 10 if len(starts) else starts > 0
         word_of = np.cumsum(line)[~line]
-        symbols, owner = merge_by_rank(*ragged([x for x in pieces if x != b"\n"], vocab), ranks)
+        keep = codes != 10
+        piece_of = np.repeat(np.cumsum(~line) - 1, sizes)[keep]
+        symbols, owner = merge_by_rank(*_first_symbols(codes[keep], piece_of), ranks)
         ends = np.cumsum(np.bincount(word_of[owner], minlength=len(own)) * 4).tolist()
         data = symbols.astype("<u4").tobytes()
         got = [data[a:b] for a, b in zip([0, *ends], ends)]
@@ -64,7 +80,7 @@ def _tokenizer(path: str) -> Chunks:
         return [out[i] if i in out else np.array(tok.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
                 for i, w in enumerate(words)]
 
-    return Chunks(learn, 250_000)
+    return Chunks(learn)
 
 
 # characters that lower-case and normalise by themselves, digits apart from
@@ -101,12 +117,10 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int = 1, longest: int = 2048,
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def batch(ids: list, values: list) -> dict:
-        words = [_words(t) for t in values]
-        chunks = _tokenizer(vocab_path)
-        known = chunks.cover(words)
+        found = _tokenizer(vocab_path).values([_words(t) for t in values])
         out = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "bucket")}
-        for doc, ws in zip(ids, words):
-            data = b"".join(map(known.__getitem__, ws)) + end
+        for doc, parts in zip(ids, found):
+            data = b"".join(parts) + end
             start, total = 0, len(data) // 4
             for n in binary_pieces(total, longest):
                 for k, v in zip(out, (doc, start, n, data[4 * start:4 * (start + n)], total, n.bit_length() - 1)):

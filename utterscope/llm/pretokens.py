@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import regex
@@ -106,16 +107,19 @@ class Chunks:
     memory is bounded; a forgotten chunk is learnt again.
     """
 
-    def __init__(self, learn, limit: int = 300_000):
+    def __init__(self, learn, limit: int = 400_000):
         self.learn, self.limit, self.known = learn, limit, {}
 
-    def cover(self, chunks: list[list[str]]) -> dict:
-        """A dict that holds at least all of ``chunks``."""
-        new = set().union(*chunks).difference(self.known) if chunks else set()
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = set().union(*chunks)
-        new = list(new)
-        if new:
-            self.known.update(zip(new, self.learn(new)))
-        return self.known
+    def values(self, chunks: list[list[str]]) -> list[list]:
+        """The values of lists of chunks, list by list."""
+        flat = list(chain.from_iterable(chunks))
+        found = list(map(self.known.get, flat))
+        if None in found:
+            new = list({c for c, v in zip(flat, found) if v is None})
+            fresh = dict(zip(new, self.learn(new)))
+            if len(self.known) + len(fresh) > self.limit:
+                self.known = {}
+            self.known.update(fresh)
+            found = [fresh[c] if v is None else v for c, v in zip(flat, found)]
+        values = iter(found)
+        return [list(islice(values, len(c))) for c in chunks]

@@ -55,18 +55,22 @@ class RankTable:
         return out
 
 
+def _pair_ranks(symbols: np.ndarray, owner: np.ndarray, table: RankTable, at: np.ndarray) -> np.ndarray:
+    """Ranks of the pairs that begin at ``at``; none across sequences."""
+    nxt = np.minimum(at + 1, len(symbols) - 1)
+    rank = table.rank(symbols[at], symbols[nxt])
+    rank[(owner[at] != owner[nxt]) | (nxt == at)] = NO_RANK
+    return rank
+
+
 def merge_by_rank(symbols: np.ndarray, owner: np.ndarray, table: RankTable) -> tuple[np.ndarray, np.ndarray]:
     """Merge every sequence of a ragged array (``owner``: ascending sequence
     number of each symbol) to its end; returns the surviving symbols and
     their owners, in order."""
     done = []
+    rank = _pair_ranks(symbols, owner, table, np.arange(len(symbols))) if len(symbols) else None
     while len(symbols):
-        last = np.empty(len(symbols), dtype=bool)
-        last[:-1], last[-1] = owner[1:] != owner[:-1], True
-        rank = np.full(len(symbols), NO_RANK)
-        rank[:-1] = table.rank(symbols[:-1], symbols[1:])
-        rank[last] = NO_RANK
-        starts = np.flatnonzero(np.r_[True, last[:-1]])
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         lowest = np.minimum.reduceat(rank, starts)
         low = np.repeat(lowest, np.diff(np.r_[starts, len(symbols)]))
         active = low < NO_RANK
@@ -77,7 +81,14 @@ def merge_by_rank(symbols: np.ndarray, owner: np.ndarray, table: RankTable) -> t
         at = at[(np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]) % 2 == 0]
         symbols[at] = table.merged[rank[at]]
         active[at + 1] = False
-        symbols, owner = symbols[active], owner[active]
+        merged = np.zeros(len(symbols), dtype=bool)
+        merged[at] = True
+        symbols, owner, rank, merged = symbols[active], owner[active], rank[active], merged[active]
+        # only pairs that hold a merged symbol have another rank
+        new = np.flatnonzero(merged[:-1] | merged[1:]) if len(symbols) else at[:0]
+        rank[new] = _pair_ranks(symbols, owner, table, new)
+        if len(symbols):
+            rank[-1] = NO_RANK
     if not done:
         return symbols, owner
     symbols, owner = (np.concatenate(x) for x in zip(*done))
@@ -122,9 +133,9 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
     """
     def batch(ids: list, values: list) -> dict:
         vocab, chunks = _counter(vocab_path)
-        split = [[CHUNK.findall(s) if isinstance(s, str) else s for s in vocab.segments(t)] for t in values]
-        known = chunks.cover([s for parts in split for s in parts if isinstance(s, list)])
-        n = [sum(sum(map(known.__getitem__, s)) if isinstance(s, list) else 1 for s in parts) for parts in split]
+        parts = [vocab.segments(t) for t in values]
+        counts = iter(chunks.values([CHUNK.findall(s) for p in parts for s in p if isinstance(s, str)]))
+        n = [sum(sum(next(counts)) if isinstance(s, str) else 1 for s in p) for p in parts]
         return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in values], "n_tokens": n}
 
     return map_texts(texts(docs, id_col, text_col), batch, "doc_id long, n_bytes long, n_tokens long")
