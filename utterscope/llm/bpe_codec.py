@@ -9,10 +9,12 @@ back-pointers from the whole pre-token emits the ids.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, islice
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,26 +39,25 @@ class PrefixEncoder:
             word = vocab.bytes_of[token].decode("latin-1")
             self.automaton.add_word(word, (token, len(word)))
         self.automaton.make_automaton()
-        self.tested: dict[tuple[int, int], bool] = {}
+        # (left, right) -> whether BPE leaves them side by side, remembered
+        self.tested: dict[int, bool] = {}
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether BPE leaves ``left`` and ``right`` side by side: no merge
-        ever joins symbols across their border.
-
-        The symbols at the border are parts on the right edge of ``left`` and
-        on the left edge of ``right``; each lives until the merge that absorbs
-        it.  Going back from the whole tokens, the border pair that is alive
-        must have no merge that is due before either is absorbed (the
-        leftmost of equal merges comes first).
-        """
-        got = self.tested.get((left, right))
-        if got is None:
-            if len(self.tested) >= PAIR_LIMIT:
-                self.tested.clear()
-            got = self.tested[left, right] = self._border_stays(left, right)
+    def _test(self, left: int, right: int) -> bool:
+        if len(self.tested) >= PAIR_LIMIT:
+            self.tested.clear()
+        got = self.tested[left << 32 | right] = self._border_stays(left, right)
         return got
 
     def _border_stays(self, x: int, y: int) -> bool:
+        """Whether no merge ever joins symbols across the border of the
+        tokens ``x`` and ``y``.
+
+        The symbols at the border are parts on the right edge of ``x`` and on
+        the left edge of ``y``; each lives until the merge that absorbs it.
+        Going back from the whole tokens, the border pair that is alive must
+        have no merge that is due before either is absorbed (the leftmost of
+        equal merges comes first).
+        """
         endless = 1 << 40
         x_ends = y_ends = endless
         while True:
@@ -72,28 +73,52 @@ class PrefixEncoder:
             else:
                 y_ends, y = y_made[0], y_made[1]
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Token ids of one pre-token."""
-        last = [-1] * (len(piece) + 1)
-        back = [0] * (len(piece) + 1)
-        compatible = self.compatible
-        for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """Token ids of each pre-token.  All go through the automaton as one
+        string, with a character that no token holds between them."""
+        joined = "\u0100".join([p.decode("latin-1") for p in pieces])
+        ends = list(accumulate(len(p) + 1 for p in pieces))
+        last, back = [-1] * (len(joined) + 2), [0] * (len(joined) + 2)
+        for begin in chain([0], ends):
+            last[begin] = -2  # the empty prefix
+        tested = self.tested
+        for end, (token, size) in self.automaton.iter(joined):
             end += 1
-            if last[end] < 0 and (end == size or compatible(last[end - size], token)):
-                last[end], back[end] = token, end - size
-        ids, at = [], len(piece)
-        while at:
-            ids.append(last[at])
-            at = back[at]
-        return ids[::-1]
+            if last[end] != -1:
+                continue
+            begin = end - size
+            before = last[begin]
+            if before >= 0:
+                stays = tested.get(before << 32 | token)
+                if stays is None:
+                    stays = self._test(before, token)
+                if not stays:
+                    continue
+            last[end], back[end] = token, begin
+        out = []
+        for piece, end in zip(pieces, ends):
+            at, ids = end - 1, []
+            stop = at - len(piece)
+            while at > stop:
+                ids.append(last[at])
+                at = back[at]
+            ids.reverse()
+            out.append(ids)
+        return out
 
 
 @lru_cache(maxsize=4)
 def _encoder(path: str) -> tuple[ByteVocabulary, Chunks]:
     vocab = vocabulary(path)
     encoder = PrefixEncoder(vocab)
-    return vocab, Chunks(lambda chunks: [
-        tuple(chain.from_iterable(encoder.encode(w.encode()) for w in pretokens(c))) for c in chunks], 300_000)
+
+    def learn(chunks: list[str]) -> list[bytes]:
+        words = [pretokens(c) for c in chunks]
+        ids = iter(encoder.encode([w.encode() for ws in words for w in ws]))
+        return [array("i", next(ids) if len(ws) == 1 else list(chain.from_iterable(islice(ids, len(ws))))).tobytes()
+                for ws in words]
+
+    return vocab, Chunks(learn)
 
 
 def encode_texts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
@@ -108,9 +133,11 @@ def encode_texts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
         vocab, chunks = _encoder(vocab_path)
         parts = [vocab.segments(t) for t in values]
         found = iter(chunks.values([CHUNK.findall(s) for p in parts for s in p if isinstance(s, str)]))
-        out = [list(chain.from_iterable(chain.from_iterable(next(found)) if isinstance(s, str) else [s] for s in p))
+        out = [b"".join(b"".join(next(found)) if isinstance(s, str) else array("i", [s]).tobytes() for s in p)
                for p in parts]
-        return {"doc_id": ids, "ids": pa.array(out, type=pa.list_(pa.int32()))}
+        ends = np.cumsum([0] + [len(o) // 4 for o in out]).astype(np.int32)
+        flat = pa.array(np.frombuffer(b"".join(out), dtype=np.int32))
+        return {"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends), flat)}
 
     return map_texts(texts(docs, id_col, text_col), batch, "doc_id long, ids array<int>")
 
@@ -123,13 +150,22 @@ def decode_ids(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id",
     schema = "doc_id long, ids array<int>, text string"
 
     def run(batches):
-        token = vocabulary(vocab_path).bytes_of
-        size, target = len(token), to_arrow(schema)
+        token = pa.array(vocabulary(vocab_path).bytes_of, type=pa.binary())
+        target = to_arrow(schema)
         for b in batches:
-            rows = b.column(1).to_pylist()
-            out = [b"".join([token[i] for i in row if 0 <= i < size]).decode("utf-8", "replace") for row in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.string())],
-                                             names=target.names).cast(target)
+            for at in range(0, b.num_rows, 50):
+                part = b.slice(at, 50)
+                ids = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                known = np.where((ids >= 0) & (ids < len(token)), ids, -1)
+                data = token.take(pa.array(known, mask=known < 0)).fill_null(b"")
+                # the bytes of all tokens lie one after the other
+                offsets = np.frombuffer(data.buffers()[1], dtype=np.int32)[data.offset:data.offset + len(data) + 1]
+                flat = data.buffers()[2].to_pybytes() if len(data) else b""
+                sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                ends = offsets[np.cumsum(np.r_[0, sizes])] if len(data) else np.zeros(len(sizes) + 1, dtype=np.int32)
+                out = [flat[x:y].decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, type=pa.string())],
+                                                 names=target.names).cast(target)
 
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"),
                           F.coalesce(F.col(ids_col), F.array().cast("array<int>")).cast("array<int>").alias("ids")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # the batch is small; the result of no operator depends on it.
 BATCH_ROWS = 400
 # Characters of text that an operator works on at a time, beyond one text.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 _shipped: set[str] = set()

@@ -11,8 +11,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from contextlib import suppress
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import regex
@@ -26,6 +26,9 @@ CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 # the pattern of the lower-case word vocabulary over Latin-1 lines; a line
 # feed comes out as an item of its own
 LOWER_WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+ASCII_WORDS = re.compile(PRETOKEN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+                         .replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII)
+_LATER = re.compile("[^\x00-\u036f]")  # characters that a Unicode version may add to
 WORDS = regex.compile(PRETOKEN.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]")
                       .replace(r"\S", f"[^{SPACES}]"))
 
@@ -51,6 +54,8 @@ def pretokens(chunk: str) -> list[str]:
     """Pre-tokens of one chunk.  Characters that Python's Unicode version
     doesn't know yet are classed by the tokenizer itself."""
     if chunk.isascii():
+        return ASCII_WORDS.findall(chunk)
+    if not _LATER.search(chunk):
         return WORDS.findall(chunk)
     shown = "".join(_stand_in(c) if c > "\u0370" and unicodedata.category(c) == "Cn" else c for c in chunk)
     return [chunk[m.start():m.end()] for m in WORDS.finditer(shown)]
@@ -100,6 +105,17 @@ def vocabulary(path: str) -> ByteVocabulary:
     return ByteVocabulary(path)
 
 
+class _Known(dict):
+    """Values of chunks; a chunk without one reads as None and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: dict[str, None] = {}
+
+    def __missing__(self, chunk: str) -> None:
+        self.new[chunk] = None
+
+
 class Chunks:
     """What is known of each chunk: ``value(chunk) = learn([chunks])[i]``.
 
@@ -108,18 +124,23 @@ class Chunks:
     """
 
     def __init__(self, learn, limit: int = 400_000):
-        self.learn, self.limit, self.known = learn, limit, {}
+        self.learn, self.limit, self.known = learn, limit, _Known()
 
     def values(self, chunks: list[list[str]]) -> list[list]:
         """The values of lists of chunks, list by list."""
-        flat = list(chain.from_iterable(chunks))
-        found = list(map(self.known.get, flat))
-        if None in found:
-            new = list({c for c, v in zip(flat, found) if v is None})
+        known = self.known
+        found = [list(map(known.__getitem__, c)) for c in chunks]
+        if known.new:
+            new = list(known.new)
+            known.new = {}
             fresh = dict(zip(new, self.learn(new)))
-            if len(self.known) + len(fresh) > self.limit:
-                self.known = {}
-            self.known.update(fresh)
-            found = [fresh[c] if v is None else v for c, v in zip(flat, found)]
-        values = iter(found)
-        return [list(islice(values, len(c))) for c in chunks]
+            if len(known) + len(fresh) > self.limit:
+                known.clear()
+            known.update(fresh)
+            for words, values in zip(chunks, found):
+                at = -1
+                with suppress(ValueError):  # when no further value is open
+                    while True:
+                        at = values.index(None, at + 1)
+                        values[at] = fresh[words[at]]
+        return found
