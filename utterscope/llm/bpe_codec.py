@@ -112,11 +112,11 @@ def _encoder(path: str) -> tuple[ByteVocabulary, Chunks]:
     vocab = vocabulary(path)
     encoder = PrefixEncoder(vocab)
 
+    # words are remembered too: the same one occurs with other punctuation
+    words = Chunks(lambda new: [array("i", ids).tobytes() for ids in encoder.encode([w.encode() for w in new])])
+
     def learn(chunks: list[str]) -> list[bytes]:
-        words = [pretokens(c) for c in chunks]
-        ids = iter(encoder.encode([w.encode() for ws in words for w in ws]))
-        return [array("i", next(ids) if len(ws) == 1 else list(chain.from_iterable(islice(ids, len(ws))))).tobytes()
-                for ws in words]
+        return [b"".join(parts) for parts in words.values([pretokens(c) for c in chunks])]
 
     return vocab, Chunks(learn)
 
