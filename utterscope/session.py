@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +69,17 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 
 
 def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """A path under the checkpoint folder for intermediate tables."""
+    """A path under the checkpoint folder for an intermediate table; every
+    call gets its own, so a live result is never overwritten."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}-{os.getpid()}-{id(spark) & 0xffff:x}"
+    return f"{base}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared checkpoint folder."""
+    path = scratch_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
