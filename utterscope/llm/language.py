@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterscope.llm.common import map_texts, texts
+from utterscope.llm.rows import keep_rows
 from utterscope.session import reliable_checkpoint
 
 UNKNOWN = "und"
@@ -241,3 +242,23 @@ def learn_and_predict(docs: DataFrame, sample_per_language: int = 600, **columns
     columns.pop("lang_col", None)
     return predict_language(docs, model, **columns).select(
         "doc_id", F.coalesce(fold_of() == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.5, sample_per_language: int = 600, id_col: str = "doc_id",
+                    text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is identified with a calibrated
+    probability of ``min_score`` or more; texts that are null, without a
+    letter or less certain are rejected.  Learns as ``learn_and_predict``
+    does; if no row has a label, every text with a letter stays."""
+    fold = fold_of(id_col)
+    model = fit_language_model(docs.filter(fold != 0), sample_per_language, calibrate=fold == 1,
+                               id_col=id_col, text_col=text_col, lang_col=lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(values: list) -> list:
+        if not shared.value.languages:
+            return [has_letter(t) for t in values]
+        found = [shared.value.predict(t) for t in values]
+        return [lang != UNKNOWN and score >= min_score for lang, score in found]
+
+    return keep_rows(docs, text_col, keep)

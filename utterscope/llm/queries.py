@@ -16,6 +16,7 @@ from utterscope.llm import (
     bpe_codec,
     language,
     packing,
+    passages,
     secrets,
     simhash,
     token_counts,
@@ -47,6 +48,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir, "documents")
 
 
+@register("op1_passage_chains")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_passages(documents(spark, sf_dir), min_words=50, similarity=0.8)
+
+
 @register("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf_dir), BYTE_VOCABULARY)

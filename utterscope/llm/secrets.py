@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterscope.llm.common import map_texts, texts
+from utterscope.llm.rows import recount, replace_texts
 
 # The base patterns (kind, pattern, group whose length counts,
 # least length).
@@ -199,3 +200,9 @@ def span_digest(scanned: DataFrame) -> DataFrame:
         *map(number, base),
         F.sha2(joined(F.filter(at, lambda s: s["kinds"].isin(base))), 256).alias("base_sha256"),
         joined(at).alias("spans"))
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+    """All rows of ``docs`` with secrets in the text replaced by ``mark``;
+    ``n_chars`` follows if there is one."""
+    return recount(replace_texts(docs, text_col, lambda t: redact_text(t, mark)), text_col)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterscope.llm.common import map_texts, texts
+from utterscope.llm.rows import free_name
 from utterscope.operators.components import connected_components
 from utterscope.session import reliable_checkpoint, sized_broadcast
 
@@ -220,3 +221,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, max_list
     of_fp = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when of each near-duplicate group only
+    the document of smallest id does; of rows that repeat its id one stays,
+    and documents without an id, which no group can name, all stay."""
+    first = free_name(docs, "kept_id")
+    kept = (near_duplicates(docs, words, max_bits, id_col=id_col, text_col=text_col)
+            .select(F.col("component_id").alias(first)).filter(F.col(first).isNotNull()).distinct())
+    named = docs.join(kept, docs[id_col] == kept[first], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.filter(docs[id_col].isNull()))
