@@ -19,6 +19,7 @@ from utterscope.llm import (
     passages,
     secrets,
     simhash,
+    suffix_dups,
     token_counts,
     vector_dups,
 )
@@ -84,6 +85,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_predict(documents(spark, sf_dir))
 
 
+@register("op7_suffix_dups")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffix_dups.remove_repeats(documents(spark, sf_dir))
+    return removed.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                          F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op8_lsh_forest")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = rows(spark, sf_dir, "embeddings")
