@@ -47,7 +47,8 @@ def sq_euclidean(a, b) -> Column:
 
 
 def cosine(a, b, eps: float = 0.0) -> Column:
-    return dot(a, b) / (norm(a) * norm(b) + F.lit(eps))
+    """Cosine; 0 where a vector is zero."""
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b) + F.lit(eps)), F.lit(0.0))
 
 
 def scale(a, k) -> Column:
@@ -56,7 +57,8 @@ def scale(a, k) -> Column:
 
 
 def unit(a) -> Column:
-    return with_const(a, norm(a), lambda x, n: x / n)
+    """The vector at length one; a zero vector stays zero."""
+    return with_const(a, norm(a), lambda x, n: F.when(n == 0, F.lit(0.0)).otherwise(F.try_divide(x, n)))
 
 
 def softmax(logits, temperature=1.0) -> Column:

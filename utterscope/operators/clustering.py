@@ -6,8 +6,8 @@
 * H8 density clusters: a flat cut of the mutual-reachability graph —
   exact kNN graph (F6) -> core distance (min_samples-th neighbour) ->
   edges with max(core_i, core_j, d_ij) <= eps (default: twice the median
-  core distance) -> connected components by
-  min-label propagation (checkpointed every round) -> components smaller
+  core distance) -> connected components (alternating star steps until
+  converged, checkpointed every round) -> components smaller
   than min_cluster_size become noise (-1); ids by size desc.  This is not
   HDBSCAN's excess-of-mass selection.
 * H9 centroid clusters: KMeans + a distance-quantile noise cut.
@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterscope.functions import text as tx
 from utterscope.functions import vectors as vx
+from utterscope.operators.components import connected_components
+from utterscope.operators.prep import dense_index
 from utterscope.session import reliable_checkpoint
 
 
@@ -43,22 +45,11 @@ def reduce_dims(df: DataFrame, vec: str, k: int = 15, out: str = "reduced") -> D
     return y.withColumn(out, vx.unit("_r")).drop("_f", "_p", "_r")
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, key: str, max_iter: int = 100) -> DataFrame:
-    """Min-label propagation: (key, component = smallest key reachable).
-    Each round is a join + groupBy and a reliable checkpoint."""
-    und = edges.select(F.col("src"), F.col("dst")).unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    und = reliable_checkpoint(und)
-    lab = reliable_checkpoint(vertices.select(F.col(key).alias("v"), F.col(key).alias("c")))
-    for _ in range(max_iter):
-        prop = und.join(lab.withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v"), "c")
-        new = lab.unionByName(prop).groupBy("v").agg(F.min("c").alias("c"))
-        new = reliable_checkpoint(new)
-        changed = new.join(lab.withColumnRenamed("c", "_old"), "v").where(F.col("c") != F.col("_old")).limit(1).count()
-        lab = new
-        if changed == 0:
-            break
-    return lab.select(F.col("v").alias(key), F.col("c").alias("component"))
+def vertex_components(vertices: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, component = smallest key reachable) for every vertex; runs until
+    converged."""
+    found = connected_components(edges).withColumnRenamed("id", key)
+    return vertices.select(key).join(found, key, "left").select(key, F.coalesce("component", key).alias("component"))
 
 
 def density_cluster(df: DataFrame, key: str, vec: str, min_cluster_size: int = 30, min_samples: int = 3,
@@ -76,15 +67,14 @@ def density_cluster(df: DataFrame, key: str, vec: str, min_cluster_size: int = 3
         # default cut: twice the (exact) median core distance
         med = exact_median(core, "core").select("median").scalar()
         eps = 2.0 * core.sparkSession.range(1).select(med).first()[0]
-    e = (knn.where(F.col("rank") > 1).select(F.col(key).alias("src"), F.col(f"nb_{key}").alias("dst"), "d")
+    e = (knn.where(F.col(key) != F.col(f"nb_{key}")).select(F.col(key).alias("src"), F.col(f"nb_{key}").alias("dst"), "d")
             .join(core.select(F.col(key).alias("src"), F.col("core").alias("c1")), "src")
             .join(core.select(F.col(key).alias("dst"), F.col("core").alias("c2")), "dst")
             .where(F.greatest("c1", "c2", "d") <= F.lit(float(eps))).select("src", "dst"))
-    comp = connected_components(df.select(key), e, key)
+    comp = vertex_components(df, e, key)
     sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
     big = sizes.where(F.col("size") >= min_cluster_size)
-    w = Window.orderBy(F.desc("size"), "component")
-    ids = big.withColumn("topic_id", (F.row_number().over(w) - 1).cast("int"))
+    ids = dense_index(big, [F.desc("size"), "component"], "_pos").withColumn("topic_id", (F.col("_pos") - 1).cast("int"))
     out = comp.join(ids.select("component", "topic_id"), "component", "left")
     return out.select(key, F.coalesce("topic_id", F.lit(-1)).alias("topic_id"))
 
@@ -118,8 +108,8 @@ def discover_intents(df: DataFrame, key: str, text: str, settings) -> dict:
     x = reliable_checkpoint(pp.filter_min_words(x, "cleaned", settings.min_words_after_cleaning))
     n_clean = x.count()
     if n_clean < settings.min_cluster_size:
-        raise ValueError(f"Not enough valid texts ({n_clean}) for clustering. "
-                         f"Need at least {settings.min_cluster_size}")
+        raise ValueError(f"{n_clean} texts are left after cleaning, but a cluster has "
+                         f"{settings.min_cluster_size} or more")
     emb = embed_text(x, "cleaned")
     red = reliable_checkpoint(reduce_dims(emb, "embedding", settings.n_components))
     topics = density_cluster(red, key, "reduced", settings.min_cluster_size, settings.min_samples,

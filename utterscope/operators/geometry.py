@@ -61,8 +61,9 @@ def davies_bouldin(df: DataFrame, topic: str, vec: str) -> DataFrame:
     pairs = (t.withColumn("_all", packed.scalar())
               .select("i", "centroid", "s", F.explode("_all").alias("o"))
               .where(F.col("o")["i"] != F.col("i")))
-    r = pairs.select("i", ((F.col("s") + F.col("o")["s"]) /
-                           vx.euclidean("centroid", F.col("o")["centroid"])).alias("_r"))
+    # coinciding centroids count 0, as if infinitely far apart
+    r = pairs.select("i", F.coalesce(F.try_divide(F.col("s") + F.col("o")["s"], vx.euclidean("centroid", F.col("o")["centroid"])),
+                                     F.lit(0.0)).alias("_r"))
     return r.groupBy("i").agg(F.max("_r").alias("_m")).agg(F.avg("_m").alias("davies_bouldin"))
 
 
@@ -121,7 +122,7 @@ def silhouette(df: DataFrame, key: str, topic: str, vec: str, max_rows: int = 10
     b = per.where(F.col("other") != F.col(topic)).groupBy(key).agg(F.min("mean_d").alias("b"))
     s = a.join(b, key, "left").withColumn(
         "s", F.when((F.col("na") == 0) | F.col("b").isNull(), F.lit(0.0))
-              .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))
+              .otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))))
     k = pts.select(topic).distinct().count()
     if k < 2:
         return df.sparkSession.createDataFrame([(0.0,)], "silhouette double")

@@ -27,8 +27,9 @@ def _unit(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 def knn_join(df: DataFrame, key: str, vec: str, k: int = 20, n_pivots: int = 64,
              seed: int = 42, extra: list[str] | None = None, block_rows: int = 2048) -> DataFrame:
-    """Top-k most cosine-similar rows per row (self included, as the
-    reference does).  Output: (key, nb_<key>, rank, cos [, extra cols of
+    """Top-k most cosine-similar rows per row: the row itself first, then by
+    cosine (rounded to 12 places) descending and key ascending; the cosine
+    with a zero vector is 0.  Output: (key, nb_<key>, rank, cos [, extra cols of
     both sides])."""
     from utterscope.session import reliable_checkpoint
     extra = list(extra or [])
@@ -91,7 +92,7 @@ def knn_join(df: DataFrame, key: str, vec: str, k: int = 20, n_pivots: int = 64,
     members = rows.select("cell", F.col(key).alias(f"nb_{key}"), F.col("_v").alias("_mv"),
                           *[F.col(c).alias(f"nb_{c}") for c in extra])
     top = _cell_topk(queries, members, key, extra, k, block_rows)
-    wr = Window.partitionBy(key).orderBy(F.desc("cos"), F.col(f"nb_{key}"))
+    wr = Window.partitionBy(key).orderBy((F.col(key) == F.col(f"nb_{key}")).desc(), F.desc("cos"), F.col(f"nb_{key}"))
     out = top.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= k)
     return out.select(key, f"nb_{key}", "rank", "cos", *extra, *[f"nb_{c}" for c in extra])
 
@@ -132,18 +133,24 @@ def _cell_topk(queries: DataFrame, members: DataFrame, key: str, extra: list, k:
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf.is_q]
-        m = pdf[~pdf.is_q]
+        m = pdf[~pdf.is_q].sort_values("id")
         if q.empty or m.empty:
             return pd.DataFrame({c: [] for c in cols})
         qv = np.stack(q["vec"].to_numpy()).astype(np.float64)
         mv = np.stack(m["vec"].to_numpy()).astype(np.float64)
         qn = np.sqrt((qv * qv).sum(1))
         mn = np.sqrt((mv * mv).sum(1))
-        cos = (qv @ mv.T) / (qn[:, None] * mn[None, :])
+        norms = qn[:, None] * mn[None, :]
+        # equal vectors must tie: the last bits of a product depend on its place
+        cos = np.round(np.divide(qv @ mv.T, norms, out=np.zeros(norms.shape), where=norms > 0), 12)
+        own = q["id"].to_numpy()[:, None] == m["id"].to_numpy()[None, :]
+        rank = np.where(own, np.inf, cos)
         kk = min(k, cos.shape[1])
-        idx = np.argpartition(-cos, kk - 1, axis=1)[:, :kk]
-        qi = np.repeat(np.arange(len(q)), kk)
-        mi = idx.ravel()
+        # the k first by (self, cos desc, id asc): all above the k-th value, then the smallest ids among its ties
+        least = np.partition(rank, -kk, axis=1)[:, -kk][:, None]
+        above, ties = rank > least, rank == least
+        missing = kk - above.sum(1)[:, None]
+        qi, mi = np.nonzero(above | (ties & (np.cumsum(ties, axis=1) <= missing)))
         out = {key: q["id"].to_numpy()[qi], f"nb_{key}": m["id"].to_numpy()[mi],
                "cos": cos[qi, mi]}
         for c in extra:

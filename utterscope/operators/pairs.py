@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterscope.operators.neighbors import knn_join, nearest_other_label
-from utterscope.operators.prep import group_rank
+from utterscope.operators.prep import group_rank, null_safe_join
 from utterscope.operators.splits import seeded_hash
 
 
 def _positions(df: DataFrame, label: str, key: str, order_cols: list) -> DataFrame:
     ranked = group_rank(df.select(label, key), [label], order_cols, "_pos")
     sizes = ranked.groupBy(label).agg(F.count("*").alias("_n"))
-    return ranked.join(sizes, label)
+    return null_safe_join(ranked, sizes, [label])
 
 
 def contrastive_pairs(df: DataFrame, label: str, key: str, offsets=(1, 2),
@@ -31,7 +31,7 @@ def contrastive_pairs(df: DataFrame, label: str, key: str, offsets=(1, 2),
     for off in offsets:
         cand = pos.where(F.col("_n") > off) if off > 1 else pos
         cand = cand.withColumn("_ppos", ((F.col("_pos") - 1 + off) % F.col("_n")) + 1)
-        p = cand.join(partner, [label, "_ppos"]).select(
+        p = null_safe_join(cand, partner, [label, "_ppos"]).select(
             label, F.col(key).alias("anchor_id"), "positive_id", F.lit(off).alias("offset"))
         out = p if out is None else out.unionByName(p)
     return out
@@ -53,8 +53,8 @@ def hard_negative_triplets(df: DataFrame, label: str, key: str, vec: str, k: int
     base = df.select(key, label, vec).withColumn("_h", seeded_hash(seed, key))
     pos = _positions(base, label, key, ["_h", key]).where(F.col("_n") >= 2)
     partner = pos.select(label, F.col("_pos").alias("_ppos"), F.col(key).alias("positive_id"))
-    anchors = (pos.withColumn("_ppos", (F.col("_pos") % F.col("_n")) + 1)
-                  .join(partner, [label, "_ppos"]).select(key, label, "positive_id"))
+    anchors = (null_safe_join(pos.withColumn("_ppos", (F.col("_pos") % F.col("_n")) + 1), partner, [label, "_ppos"])
+               .select(key, label, "positive_id"))
     knn = knn_join(base.select(key, label, vec), key, vec, k=k, n_pivots=n_pivots, seed=seed, extra=[label])
     hard = nearest_other_label(knn, key, label).select(
         key, F.col(f"nb_{key}").alias("hard_negative_id"), F.col("cos").alias("hard_cos"))

@@ -6,6 +6,9 @@ row index (B3), done as a distributed zip-with-index.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,13 @@ def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list) -> DataFrame:
+    """Inner join on ``keys`` in which a null key equals a null key."""
+    other = right.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    same = reduce(and_, [left[k].eqNullSafe(other[f"_key{i}"]) for i, k in enumerate(keys)])
+    return left.join(other, same).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 # ---------------------------------------------------------------- B3 ----
 def group_rank(df: DataFrame, by: list, order_cols: list, out: str = "_rank") -> DataFrame:
     """Exact 1-based rank of each row within its ``by`` group in
@@ -55,9 +65,8 @@ def group_rank(df: DataFrame, by: list, order_cols: list, out: str = "_rank") ->
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
     small = sized_broadcast(offsets.select(*keys, "_before", "_m0"), 1 << 20)
-    out_df = tagged.join(small, keys) if by else tagged.join(small, "_pid")
-    return out_df.withColumn(out, F.col("_before") + F.col("_mid") - F.col("_m0") + 1) \
-                 .drop("_pid", "_mid", "_before", "_m0")
+    return (null_safe_join(tagged, small, keys).withColumn(out, F.col("_before") + F.col("_mid") - F.col("_m0") + 1)
+            .select(*df.columns, out))
 
 
 def dense_index(df: DataFrame, order_cols: list, out: str = "_pos") -> DataFrame:
@@ -206,7 +215,7 @@ def filter_min_words(df: DataFrame, cleaned: str, min_words: int = 3) -> DataFra
 def kept_ratio(df: DataFrame, cleaned: str, min_words: int = 3) -> DataFrame:
     kept = F.sum((tx.word_count(cleaned) >= min_words).cast("int"))
     return df.agg(F.count("*").alias("n"), kept.cast("long").alias("kept"),
-                  F.round(100.0 * kept / F.count("*"), 6).alias("kept_pct"))
+                  F.round(F.try_divide(100.0 * kept, F.count("*")), 6).alias("kept_pct"))
 
 
 # --------------------------------------------------------------- B15 ----

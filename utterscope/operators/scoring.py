@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from utterscope.functions import lexicon as lx
 from utterscope.functions import text as tx
 from utterscope.functions import vectors as vx
+from utterscope.session import reliable_checkpoint
 
 
 # ---------------------------------------------------------------- E20 ----
@@ -50,7 +51,8 @@ def _logit_expr(v: Column, cl: Column, metric: str, scale: float) -> Column:
     s = F.lit(float(scale))
     if metric == "cosine":
         row = F.struct(v.alias("v"), vx.norm(v).alias("n"))
-        return vx.with_const(cl, row, lambda c, r: s * vx.dot(r["v"], c["centroid"]) / (r["n"] * c["cnorm"]))
+        return vx.with_const(cl, row, lambda c, r: F.coalesce(F.try_divide(
+            s * vx.dot(r["v"], c["centroid"]), r["n"] * c["cnorm"]), F.lit(0.0)))  # 0 for a zero vector
     if metric == "neg_euclidean":
         return vx.with_const(cl, v, lambda c, r: -s * vx.euclidean(r, c["centroid"]))
     raise ValueError(f"unknown metric {metric}")
@@ -64,7 +66,7 @@ def centroid_logits(df: DataFrame, classes: DataFrame, vec: str, key: str,
     Adds ``logits`` and ``class_names`` (names in class order).  ``key`` must
     identify rows (used only by the blocked path).
     """
-    classes = classes.persist()
+    classes = reliable_checkpoint(classes)
     n_classes = classes.limit(max_inline_classes + 1).count()
     v = vx.as_double(vec)
     if n_classes <= max_inline_classes:
@@ -76,7 +78,7 @@ def centroid_logits(df: DataFrame, classes: DataFrame, vec: str, key: str,
                   .withColumn("class_names", F.transform(cl, lambda c: c["name"])).drop("_cl")
     # Blocked path: classes are hashed into blocks of bounded expected size,
     # each block is inlined as its own scalar, and the block logits are
-    # merged per row key (class order = block, then class id).
+    # merged per row key in the order of class ids, as on the inline path.
     n_blocks = -(-n_classes // max_inline_classes) * 2
     blocked = classes.withColumn("blk", F.pmod(F.xxhash64("cls"), F.lit(n_blocks)))
     parts = None
@@ -84,15 +86,15 @@ def centroid_logits(df: DataFrame, classes: DataFrame, vec: str, key: str,
         sub = _packed(blocked.where(F.col("blk") == b)).scalar()
         cl = F.col("_cl")
         part = df.select(F.col(key), v.alias("_v"), sub.alias("_cl")).select(
-            F.col(key), F.lit(b).alias("blk"),
-            _logit_expr(F.col("_v"), cl, metric, scale).alias("lg"),
-            F.transform(cl, lambda c: c["name"]).alias("nm"))
+            F.col(key), F.arrays_zip(F.transform(cl, lambda c: c["cls"]).alias("cls"),
+                                     _logit_expr(F.col("_v"), cl, metric, scale).alias("lg"),
+                                     F.transform(cl, lambda c: c["name"]).alias("nm")).alias("part"))
         parts = part if parts is None else parts.unionByName(part)
     merged = (parts.groupBy(key)
-              .agg(F.sort_array(F.collect_list(F.struct("blk", "lg", "nm"))).alias("_s"))
+              .agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("_s"))
               .select(F.col(key),
-                      F.flatten(F.transform("_s", lambda e: e.lg)).alias("logits"),
-                      F.flatten(F.transform("_s", lambda e: e.nm)).alias("class_names")))
+                      F.transform("_s", lambda e: e.lg).alias("logits"),
+                      F.transform("_s", lambda e: e.nm).alias("class_names")))
     return df.join(merged, key)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from utterscope.operators.prep import group_rank
+from utterscope.operators.prep import group_rank, null_safe_join
 
 
 def seeded_hash(seed, key) -> Column:
@@ -42,7 +42,7 @@ def test_quotas(counts: DataFrame, label: str, frac: float, by: list | None = No
 def stratified_split(df: DataFrame, label: str, key: str, frac: float, seed: int = 42,
                      by: list | None = None) -> DataFrame:
     """Adds ``is_test``; exactly ``quota`` rows per label are test rows,
-    taken in seeded-hash order."""
+    taken in seeded-hash order; rows without a label are a stratum too."""
     from utterscope.session import sized_broadcast
     by = list(by or [])
     seed_col = F.col("seed") if "seed" in by else F.lit(str(seed))
@@ -50,7 +50,7 @@ def stratified_split(df: DataFrame, label: str, key: str, frac: float, seed: int
     counts = h.groupBy(*by, label).agg(F.count("*").alias("n"))
     quotas = test_quotas(counts, label, frac, by)
     ranked = group_rank(h, by + [label], ["_h", key], "_r")
-    out = ranked.join(sized_broadcast(quotas.select(*by, label, "quota"), 1 << 20), by + [label])
+    out = null_safe_join(ranked, sized_broadcast(quotas.select(*by, label, "quota"), 1 << 20), by + [label])
     return out.withColumn("is_test", F.col("_r") <= F.col("quota")).drop("_h", "_r", "quota")
 
 

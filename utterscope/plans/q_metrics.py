@@ -97,13 +97,8 @@ SELECT round(avg(confidence), 6) AS mean, round(median(confidence), 6) AS median
        round(stddev_pop(confidence), 6) AS std, round(min(confidence), 6) AS min,
        round(max(confidence), 6) AS max, count(*) AS n FROM ev""")
 def confidence_stats(spark, sf):
-    """E10 (exact median through the bounded-memory search)."""
-    e = evaluated(spark, sf)
-    med = mt.exact_median(e, "confidence")
-    s = e.agg(F.avg("confidence").alias("mean"), F.stddev_pop("confidence").alias("std"),
-              F.min("confidence").alias("min"), F.max("confidence").alias("max"),
-              F.count("*").alias("n"))
-    s = s.withColumn("median", med.select("median").scalar())
+    """E10."""
+    s = mt.confidence_stats(evaluated(spark, sf))
     return s.select(*[F.round(c, R6).alias(c) for c in ("mean", "median", "std", "min", "max")], "n")
 
 
@@ -130,11 +125,8 @@ SELECT correct, round(avg(confidence), 6) AS mean, round(median(confidence), 6)
 FROM ev GROUP BY correct""")
 def confidence_by_correctness(spark, sf):
     """E12."""
-    e = mt.with_correct(evaluated(spark, sf))
-    med = mt.exact_median(e, "confidence", ["correct"])
-    s = e.groupBy("correct").agg(F.avg("confidence").alias("mean"), F.count("*").alias("n"))
-    return s.join(med, "correct").select("correct", F.round("mean", R6).alias("mean"),
-                                         F.round("median", R6).alias("median"), "n")
+    s = mt.confidence_by_correctness(evaluated(spark, sf))
+    return s.select("correct", F.round("mean", R6).alias("mean"), F.round("median", R6).alias("median"), "n")
 
 
 def _hist_sql(bins: int, by: str | None) -> str:

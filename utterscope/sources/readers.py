@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -13,7 +14,7 @@ EXAMPLES_SCHEMA = StructType([StructField("input", StringType()),
                               StructField("output", StringType())])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -43,7 +44,7 @@ def read_csv_strings(spark: SparkSession, path: str, sep: str | None = None) ->
 
 def read_utterances(spark: SparkSession, path: str) -> DataFrame:
     """A1: utterance CSV (comma or semicolon)."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"Input file not found: {path}")
     return read_csv_strings(spark, path)
 
@@ -58,7 +59,7 @@ def read_labelled(spark: SparkSession, path: str, text: str = "text",
 
 def read_intent_dim(spark: SparkSession, path: str | None) -> DataFrame:
     """A3: JSON array of {intent, description, priority}; missing -> empty."""
-    if not path or not _exists(spark, path):
+    if not path or not path_exists(spark, path):
         return spark.createDataFrame([], INTENT_DIM_SCHEMA)
     return spark.read.schema(INTENT_DIM_SCHEMA).option("multiLine", True).json(path)
 
@@ -66,13 +67,15 @@ def read_intent_dim(spark: SparkSession, path: str | None) -> DataFrame:
 def read_examples(spark: SparkSession, path: str | None, max_examples: int = 1000) -> list[tuple[str, str]]:
     """A4: few-shot examples (tiny, become literals); missing, empty or
     invalid -> [] (zero-shot)."""
-    if not path or not _exists(spark, path):
+    if not path or not path_exists(spark, path):
         return []
     try:
         df = spark.read.schema(EXAMPLES_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
         rows = df.limit(max_examples + 1).collect()
-    except Exception:  # noqa: BLE001 — invalid file: zero-shot
-        return []
+    except PySparkException as e:
+        if "MALFORMED_RECORD" in str(e) or "BAD_RECORD" in str(e):  # not the expected JSON: zero-shot
+            return []
+        raise
     if len(rows) > max_examples:
         raise ValueError(f"more than {max_examples} few-shot examples")
     return [(r["input"], r["output"]) for r in rows if r["input"] is not None]

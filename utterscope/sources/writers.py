@@ -10,6 +10,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterscope.sources.readers import path_exists
+
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> str:
     """Write a report; CSV with a header, one folder of part files."""
@@ -36,10 +38,7 @@ def save_model(model, path: str, label_index: DataFrame | None = None, settings:
 def load_model(spark: SparkSession, path: str):
     from pyspark.ml import PipelineModel
     model = PipelineModel.load(f"{path}/model")
-    try:
-        labels = spark.read.parquet(f"{path}/labels")
-    except Exception:  # noqa: BLE001 — optional part
-        labels = None
+    labels = spark.read.parquet(f"{path}/labels") if path_exists(spark, f"{path}/labels") else None
     return model, labels
 
 
@@ -51,11 +50,10 @@ def save_calibration(spark: SparkSession, temperature: float, path: str, nll: fl
 
 
 def load_calibration(spark: SparkSession, path: str) -> float:
-    """Absent calibration -> 1.0 (uncalibrated)."""
-    try:
-        row = spark.read.parquet(path).select("temperature").limit(1).collect()
-    except Exception:  # noqa: BLE001
+    """Absent calibration -> 1.0 (uncalibrated); an unreadable one raises."""
+    if not path_exists(spark, path):
         return 1.0
+    row = spark.read.parquet(path).select("temperature").limit(1).collect()
     return float(row[0][0]) if row else 1.0
 
 
