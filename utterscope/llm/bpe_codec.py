@@ -155,7 +155,7 @@ def decode_ids(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id",
         for b in batches:
             for at in range(0, b.num_rows, 50):
                 part = b.slice(at, 50)
-                ids = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                ids = part.column(1).flatten().fill_null(-1).to_numpy(zero_copy_only=False)
                 known = np.where((ids >= 0) & (ids < len(token)), ids, -1)
                 data = token.take(pa.array(known, mask=known < 0)).fill_null(b"")
                 # the bytes of all tokens lie one after the other
