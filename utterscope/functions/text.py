@@ -6,6 +6,10 @@ rules (accented letters are word characters, non-breaking spaces are space).
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,7 +61,7 @@ def strip_fillers(col, greetings=lx.GREETINGS, fillers=lx.FILLERS,
     that order), collapse whitespace."""
     out = F.lower(_c(col))
     for words in (greetings, fillers, meta_talk):
-        out = F.regexp_replace(out, rf"(?U)\b({_alternation(words)})\b", "")
+        out = replace_words(out, _alternation(words), "")
     return collapse_spaces(out)
 
 
@@ -84,11 +88,47 @@ def guard_generated(generated, fallback, max_ratio: float = 1.5,
     return F.when(g.isNull() | too_long, fb).otherwise(g)
 
 
+def computed_once(df, name: str, value: Column):
+    """``df`` with column ``name`` made by a generator, through which no
+    filter on the column is pushed: a costly ``value`` runs once per row."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def literal_parts(pattern: str) -> list[str] | None:
+    """For each alternative of ``pattern`` the literal text it begins with;
+    None when one begins with something else."""
+    parts = []
+    for alternative in pattern.split("|"):
+        literal = re.match(r"[^\\\[\](){}.*+?^$]*", alternative).group()
+        if alternative[len(literal):len(literal) + 1] in ("?", "*", "{"):
+            literal = literal[:-1]
+        if not literal:
+            return None
+        parts.append(literal)
+    return parts
+
+
+def replace_words(col: Column, pattern: str, repl: str) -> Column:
+    """Replace whole words that match ``pattern``.  The regex, slow under
+    Unicode word rules, runs only on texts that hold one of its literals;
+    the text is bound to a lambda variable so that it is computed once."""
+    parts = literal_parts(pattern)
+    whole = rf"(?U)\b({pattern})\b"
+    if parts is None:
+        return F.regexp_replace(col, whole, repl)
+
+    def step(text: Column) -> Column:
+        held = reduce(or_, [text.contains(p) for p in dict.fromkeys(parts)])
+        return F.when(held, F.regexp_replace(text, whole, repl)).otherwise(text)
+
+    return F.element_at(F.transform(F.array(col), step), 1)
+
+
 def discovery_rewrite(col, rewrites=lx.DOMAIN_REWRITES) -> Column:
     """Lower-case and apply the ordered domain rewrites."""
     out = F.lower(F.coalesce(_c(col), F.lit("")))
     for pattern, repl in rewrites:
-        out = F.regexp_replace(out, rf"(?U)\b({pattern})\b", repl)
+        out = replace_words(out, pattern, repl)
     return out
 
 

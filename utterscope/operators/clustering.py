@@ -104,7 +104,7 @@ def discover_intents(df: DataFrame, key: str, text: str, settings) -> dict:
     n_in = df.count()
     if n_in < settings.min_sentences_for_discovery:
         raise ValueError(f"only {n_in} sentences; at least {settings.min_sentences_for_discovery} needed")
-    x = df.withColumn("cleaned", tx.clean_for_discovery(text))
+    x = tx.computed_once(df, "cleaned", tx.clean_for_discovery(text))
     x = reliable_checkpoint(pp.filter_min_words(x, "cleaned", settings.min_words_after_cleaning))
     n_clean = x.count()
     if n_clean < settings.min_cluster_size:
@@ -115,7 +115,7 @@ def discover_intents(df: DataFrame, key: str, text: str, settings) -> dict:
     topics = density_cluster(red, key, "reduced", settings.min_cluster_size, settings.min_samples,
                              k=settings.n_neighbors)
     rows = red.join(topics, key)
-    info = tp.topic_info(rows, "cleaned", "topic_id", settings.top_n_words)
+    info = tp.topic_info(rows, "cleaned", "topic_id", settings.top_n_words, pre_cleaned=True)
     labels = info.select("topic_id", tx.topic_label_output("topic_id", "name").alias("discovered_intent"))
     out = tp.attach_topic_label(rows.select(key, text, "cleaned", "topic_id"), labels, "topic_id")
     coh = ge.topic_coherence(rows, "topic_id", "embedding", "euclidean")

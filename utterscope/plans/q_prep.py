@@ -108,7 +108,8 @@ FROM c"""
 @query("rule_normalised", RULE_SQL)
 def rule_normalised(spark, sf):
     """B7 + B8 on whole documents."""
-    d = tb.table(spark, sf, "documents").withColumn("cleaned", tx.strip_fillers("text"))
+    d = tb.spread(tb.table(spark, sf, "documents").select("doc_id", "text"))
+    d = tx.computed_once(d, "cleaned", tx.strip_fillers("text"))
     return d.select("doc_id", "cleaned", tx.normalise_from_clean("text", "cleaned").alias("normalised"))
 
 
@@ -119,7 +120,7 @@ DISC_SQL = f"""SELECT doc_id, lang, {q.discovery_clean_sql('text')} AS cleaned F
 SELECT doc_id, cleaned, CAST(len({q.tokens_sql('cleaned')}) AS INTEGER) AS n_words FROM c""")
 def discovery_clean(spark, sf):
     """B13 on whole documents."""
-    d = tb.table(spark, sf, "documents").withColumn("cleaned", tx.clean_for_discovery("text"))
+    d = tb.cleaned_documents(spark, sf)
     return d.select("doc_id", "cleaned", tx.word_count("cleaned").alias("n_words"))
 
 
@@ -127,7 +128,7 @@ def discovery_clean(spark, sf):
 SELECT doc_id, cleaned FROM c WHERE len({q.tokens_sql('cleaned')}) >= 3""")
 def filter_min_words(spark, sf):
     """Rows with at least 3 cleaned words, original key kept."""
-    d = tb.table(spark, sf, "documents").withColumn("cleaned", tx.clean_for_discovery("text"))
+    d = tb.cleaned_documents(spark, sf)
     return pp.filter_min_words(d, "cleaned", 3).select("doc_id", "cleaned")
 
 
@@ -136,7 +137,7 @@ SELECT count(*) AS n, CAST(sum(CASE WHEN len({q.tokens_sql('cleaned')}) >= 3 THE
   round(100.0 * sum(CASE WHEN len({q.tokens_sql('cleaned')}) >= 3 THEN 1 ELSE 0 END) / count(*), 6) AS kept_pct FROM c""")
 def kept_ratio(spark, sf):
     """Share of rows kept by the discovery cleaner."""
-    d = tb.table(spark, sf, "documents").withColumn("cleaned", tx.clean_for_discovery("text"))
+    d = tb.cleaned_documents(spark, sf)
     return pp.kept_ratio(d, "cleaned", 3)
 
 
@@ -146,7 +147,7 @@ SELECT d.doc_id, d.lang, d.source, k.cleaned FROM documents d JOIN kept k USING
 def restore_original_rows(spark, sf):
     """cleaned results put back on the surviving original rows."""
     d = tb.table(spark, sf, "documents")
-    res = pp.filter_min_words(d.select("doc_id", tx.clean_for_discovery("text").alias("cleaned")), "cleaned", 3)
+    res = pp.filter_min_words(tb.cleaned_documents(spark, sf), "cleaned", 3)
     return pp.restore_original_rows(d.select("doc_id", "lang", "source"), res, "doc_id")
 
 
@@ -155,7 +156,7 @@ SELECT doc_id, lang FROM c WHERE len({q.tokens_sql('cleaned')}) < 3""")
 def dropped_rows(spark, sf):
     """F4 complement: rows the cleaner dropped (left anti join)."""
     d = tb.table(spark, sf, "documents")
-    res = pp.filter_min_words(d.select("doc_id", tx.clean_for_discovery("text").alias("cleaned")), "cleaned", 3)
+    res = pp.filter_min_words(tb.cleaned_documents(spark, sf), "cleaned", 3)
     return pp.dropped_rows(d.select("doc_id", "lang"), res.select("doc_id"), "doc_id")
 
 
@@ -237,13 +238,16 @@ def intent_context_gate(spark, sf):
 
 
 @query("filter_unlisted", f"""WITH {q.classified_cte()}
-SELECT CAST(vec_id AS VARCHAR) AS "Interaction ID", true_label AS text FROM classified WHERE tool_label = 'UNLISTED'""")
+SELECT CAST(d.doc_id AS VARCHAR) AS "Interaction ID", d.text FROM documents d
+JOIN classified c ON c.vec_id = d.doc_id % (SELECT count(*) FROM embeddings) WHERE c.tool_label = 'UNLISTED'""")
 def filter_unlisted(spark, sf):
-    """B15 over the prediction report (``Topic tool`` present)."""
-    c = tb.classified(spark, sf).select(F.col("vec_id").cast("string").alias("Interaction ID"),
-                                        F.col("true_label").alias("Phrase"),
-                                        F.col("tool_label").alias("Topic tool"))
-    return pp.filter_unlisted(c, "Phrase", "text").select("Interaction ID", "text")
+    """B15 over the prediction report (``Topic tool`` present): every document
+    with the decision on its vector."""
+    n = tb.table(spark, sf, "embeddings").agg(F.count("*")).scalar()
+    c = tb.classified(spark, sf).select("vec_id", F.col("tool_label").alias("Topic tool"))
+    d = tb.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("Interaction ID"),
+                                                F.pmod("doc_id", n).alias("vec_id"), F.col("text").alias("Phrase"))
+    return pp.filter_unlisted(d.join(c, "vec_id"), "Phrase", "text").select("Interaction ID", "text")
 
 
 @query("pick_text_column", """SELECT conv_id, turn, text AS "User_Sentence" FROM conversations""")

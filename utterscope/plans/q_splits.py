@@ -90,15 +90,14 @@ def label_index(spark, sf):
 
 @query("map_labels", f"""WITH {_split_sql('quality', TEST, [SEED])},
 idx AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id
-        FROM (SELECT DISTINCT source AS label FROM split WHERE NOT is_test AND quality = 0) t)
+        FROM (SELECT DISTINCT source AS label FROM split WHERE NOT is_test) t)
 SELECT s.doc_id, s.source, CAST(coalesce(i.label_id, -1) AS INTEGER) AS label_id
 FROM split s LEFT JOIN idx i ON s.source = i.label WHERE s.is_test""")
 def map_labels(spark, sf):
     """Label ids fitted on one side, applied to the test side
-    (unknown -> -1).  The index is fitted on the minority-class train rows,
-    so some sources are unseen."""
+    (unknown -> -1)."""
     s = sp.stratified_split(labelled(spark, sf), "quality", "doc_id", TEST, SEED)
-    idx = sp.label_index(s.where(~F.col("is_test") & (F.col("quality") == 0)), "source")
+    idx = sp.label_index(s.where(~F.col("is_test")), "source")
     return sp.map_labels(s.where("is_test"), "source", idx, -1).select("doc_id", "source", "label_id")
 
 

@@ -39,12 +39,12 @@ kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY s
 
 DOCS_SQL = f"""docs AS (SELECT doc_id, lang, {q.discovery_clean_sql('text')} AS cleaned FROM documents)"""
 TR_SQL = f"""{T_SQL},
-tr AS (SELECT t.vec_id, t.topic_id, t.v, d.text, {q.discovery_clean_sql('d.text')} AS cleaned
-       FROM t JOIN documents d ON d.doc_id = t.vec_id)"""
+tr AS (SELECT d.doc_id, t.topic_id, t.v, d.text, {q.discovery_clean_sql('d.text')} AS cleaned
+       FROM t JOIN documents d ON t.vec_id = d.doc_id % (SELECT count(*) FROM embeddings))"""
 
 
 def _docs(spark, sf):
-    return tb.table(spark, sf, "documents").withColumn("cleaned", tx.clean_for_discovery("text"))
+    return tb.cleaned_documents(spark, sf, "lang")
 
 
 @query("ngram_counts", f"""WITH {DOCS_SQL}, {_kw_sql('docs', 'lang', 10)}
@@ -80,7 +80,7 @@ info AS (SELECT s.topic, s.n, coalesce(kl.kws, []) AS kws,
 
 
 def _info(spark, sf):
-    return tp.topic_info(tb.topic_rows(spark, sf), "cleaned", "topic_id", 10)
+    return tp.topic_info(tb.topic_rows(spark, sf), "cleaned", "topic_id", 10, pre_cleaned=True)
 
 
 @query("topic_info", f"""WITH {INFO_SQL}
@@ -105,46 +105,46 @@ def _label_output_sql(tid: str, name: str) -> str:
 @query("topic_labels", f"""WITH {INFO_SQL},
 lab AS (SELECT topic, {_label_report_sql('topic', 'name')} AS label_report,
                {_label_output_sql('topic', 'name')} AS label_output FROM info)
-SELECT tr.vec_id, tr.topic_id, lab.label_report, lab.label_output FROM tr LEFT JOIN lab ON lab.topic = tr.topic_id""")
+SELECT tr.doc_id, tr.topic_id, lab.label_report, lab.label_output FROM tr LEFT JOIN lab ON lab.topic = tr.topic_id""")
 def topic_labels(spark, sf):
     """B16 + B17 + F3: both label cleaners, attached to every row."""
     i = _info(spark, sf).select("topic_id", tx.topic_label_report("topic_id", "name").alias("label_report"),
                                 tx.topic_label_output("topic_id", "name").alias("label_output"))
-    rows = tb.topic_rows(spark, sf).select("vec_id", "topic_id")
-    return tp.attach_topic_label(rows, i, "topic_id").select("vec_id", "topic_id", "label_report", "label_output")
+    rows = tb.topic_of_documents(spark, sf).select("doc_id", "topic_id")
+    return tp.attach_topic_label(rows, i, "topic_id").select("doc_id", "topic_id", "label_report", "label_output")
 
 
 MEMB_SQL = f"""{TR_SQL},
-lg AS (SELECT tr.vec_id, list(-1.0 * {dist_sql('tr.v', 'c.c')} ORDER BY c.topic_id) AS logits,
-              list(c.topic_id ORDER BY c.topic_id) AS ids FROM tr, cent c GROUP BY tr.vec_id),
-pm AS (SELECT vec_id, ids, list_transform(list_transform(logits, lambda x: exp(x - list_max(logits))),
+lg AS (SELECT tr.doc_id, list(-1.0 * {dist_sql('tr.v', 'c.c')} ORDER BY c.topic_id) AS logits,
+              list(c.topic_id ORDER BY c.topic_id) AS ids FROM tr, cent c GROUP BY tr.doc_id),
+pm AS (SELECT doc_id, ids, list_transform(list_transform(logits, lambda x: exp(x - list_max(logits))),
         lambda y: y / list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))) AS probs FROM lg),
 rowp AS (SELECT tr.*, CASE WHEN tr.topic_id = -1 THEN 0.0
                           ELSE pm.probs[list_position(pm.ids, tr.topic_id)] END AS p
-         FROM tr JOIN pm USING (vec_id)),
+         FROM tr JOIN pm USING (doc_id)),
 reps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id
-         ORDER BY p DESC, length(cleaned) DESC, vec_id DESC) AS rep_rank FROM rowp) z WHERE rep_rank <= 5)"""
+         ORDER BY p DESC, length(cleaned) DESC, doc_id DESC) AS rep_rank FROM rowp) z WHERE rep_rank <= 5)"""
 
 
 def _with_prob(spark, sf):
     """Topic rows with the row's own-topic membership probability (0 for noise)."""
     t = tb.topic_rows(spark, sf)
-    m = ge.membership(t.select("vec_id", "topic_id", "v"), "vec_id", "topic_id", "v")
+    m = ge.membership(t.select("doc_id", "topic_id", "v"), "doc_id", "topic_id", "v")
     own = F.filter(F.arrays_zip("topic_ids", "probs"), lambda z: z["topic_ids"] == F.col("topic_id"))
-    m = m.select("vec_id", F.when(F.col("topic_id") == -1, F.lit(0.0))
+    m = m.select("doc_id", F.when(F.col("topic_id") == -1, F.lit(0.0))
                  .otherwise(F.element_at(own, 1)["probs"]).alias("p"))
     # materialised once: keywords, sizes and representatives all read it
     from utterscope.session import reliable_checkpoint
-    return reliable_checkpoint(t.join(m, "vec_id"))
+    return reliable_checkpoint(t.join(m, "doc_id"))
 
 
 @query("representative_rows", f"""WITH {MEMB_SQL}
-SELECT topic_id, CAST(rep_rank AS INTEGER) AS rep_rank, vec_id, round(p, 6) AS prob, substring(cleaned, 1, 80) AS preview
+SELECT topic_id, CAST(rep_rank AS INTEGER) AS rep_rank, doc_id, round(p, 6) AS prob, substring(cleaned, 1, 80) AS preview
 FROM reps""")
 def representative_rows(spark, sf):
     """G1: top 5 rows per topic (probability, cleaned length, later row)."""
-    r = tp.representative_rows(_with_prob(spark, sf), "topic_id", "vec_id", "p", "cleaned", 5)
-    return r.select("topic_id", "rep_rank", "vec_id", F.round("p", R6).alias("prob"),
+    r = tp.representative_rows(_with_prob(spark, sf), "topic_id", "doc_id", "p", "cleaned", 5)
+    return r.select("topic_id", "rep_rank", "doc_id", F.round("p", R6).alias("prob"),
                     F.substring("cleaned", 1, 80).alias("preview"))
 
 
@@ -162,8 +162,8 @@ FROM dl JOIN kl USING (topic_id)""")
 def topic_prompt(spark, sf):
     """Cluster-labelling prompt per topic."""
     t = _with_prob(spark, sf)
-    reps = tp.representative_rows(t, "topic_id", "vec_id", "p", "cleaned", 5)
-    kws = tp.keyword_lists(tp.topic_keywords(t, "cleaned", "topic_id", 10), "topic_id")
+    reps = tp.representative_rows(t, "topic_id", "doc_id", "p", "cleaned", 5)
+    kws = tp.keyword_lists(tp.topic_keywords(t, "cleaned", "topic_id", 10, pre_cleaned=True), "topic_id")
     return tp.topic_prompt(reps, kws, "topic_id", "cleaned", 100)
 
 
@@ -172,18 +172,18 @@ def topic_prompt(spark, sf):
   count(*) FILTER (WHERE label = 9) AS n_outliers,
   round(100.0 * count(*) FILTER (WHERE label = 9) / count(*), 6) AS outlier_pct,
   round(100.0 * count(*) FILTER (WHERE label <> 9) / count(*), 6) AS coverage_pct
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""")
+FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)""")
 def discovery_overview(spark, sf):
     """E18."""
-    return tp.discovery_overview(tb.topic_rows(spark, sf), "topic_id")
+    return tp.discovery_overview(tb.topic_of_documents(spark, sf), "topic_id")
 
 
 @query("topic_sizes", """SELECT CASE WHEN label = 9 THEN -1 ELSE label END AS topic_id, count(*) AS size,
   round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id GROUP BY 1""")
+FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings) GROUP BY 1""")
 def topic_sizes(spark, sf):
     """E19."""
-    return tp.topic_sizes(tb.topic_rows(spark, sf), "topic_id")
+    return tp.topic_sizes(tb.topic_of_documents(spark, sf), "topic_id")
 
 
 @query("discovery_report", f"""WITH {MEMB_SQL}, {_kw_sql('tr', 'topic_id', 10)},
@@ -210,9 +210,9 @@ def discovery_report(spark, sf):
     """One row per discovered topic — label, size, %, top-5 keywords and
     three example sentences with their scores."""
     t = _with_prob(spark, sf)
-    info = tp.topic_info(t, "cleaned", "topic_id", 10)
+    info = tp.topic_info(t, "cleaned", "topic_id", 10, pre_cleaned=True)
     sizes = tp.topic_sizes(t, "topic_id")
-    reps = tp.representative_rows(t, "topic_id", "vec_id", "p", "cleaned", 3)
+    reps = tp.representative_rows(t, "topic_id", "doc_id", "p", "cleaned", 3)
     cols = []
     for i in (1, 2, 3):
         cols += [F.max(F.when(F.col("rep_rank") == i, F.substring("cleaned", 1, 80))).alias(f"example_{i}"),

@@ -81,11 +81,32 @@ def topic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                         .otherwise(F.col("label")))
 
 
-def topic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clustered utterances for the discovery reports: embeddings (label =
-    topic, 9 = noise) joined to document texts on vec_id = doc_id, with the
-    discovery-cleaned text.  (vec_id, topic_id, v, text, cleaned)."""
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """``df`` dealt to ``parts`` tasks (default: the session's cores) if its
+    scan has fewer splits, as a file of one row group has; select the columns
+    that are needed before."""
+    parts = parts or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+
+
+def cleaned_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """All documents with the discovery-cleaned text: (doc_id, columns, cleaned)."""
     from utterscope.functions import text as tx
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return (topic_vectors(spark, sf_dir).join(d, "vec_id")
-            .withColumn("cleaned", tx.clean_for_discovery("text")))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+    out = tx.computed_once(d, "cleaned", tx.clean_for_discovery("text"))
+    return out if "text" in columns else out.drop("text")
+
+
+def topic_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, topic_id, v): every document with the topic and vector of the
+    embedding whose vec_id is its id modulo the number of embeddings."""
+    t = topic_vectors(spark, sf_dir).select("vec_id", "topic_id", "v")
+    n = table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return d.join(t, F.col("vec_id") == F.pmod(F.col("doc_id"), n)).select("doc_id", "topic_id", "v")
+
+
+def topic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as clustered utterances for the discovery reports:
+    (doc_id, topic_id, v, cleaned)."""
+    return cleaned_documents(spark, sf_dir).join(topic_of_documents(spark, sf_dir), "doc_id")
