@@ -225,23 +225,28 @@ def repeated_windows(docs: DataFrame, max_shared: int = MAX_SHARED, bucket_bytes
     total = differing.agg(F.sum(F.col("count") + LENGTH - 1)).first()[0]
     if not total:
         return known
-    # what is asked of a document is bounded by its own length
-    asked = differing.groupBy("doc").agg(F.collect_list(F.struct("gram", "first", "count")).alias("asked"))
-    cut = (docs.withColumnRenamed("doc_id", "doc").join(asked, "doc").select("doc", "text", "asked")
-           .mapInArrow(_cut_blocks, CUT_SCHEMA))
+
+    def bytes_of(wanted: DataFrame) -> DataFrame:
+        """Blocks with their bytes; what is asked of a document is bounded by
+        its own length.  Every use deals the texts alike, so within a job
+        they are shuffled once."""
+        asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "first", "count")).alias("asked"))
+        return (docs.withColumnRenamed("doc_id", "doc").join(asked, "doc").select("doc", "text", "asked")
+                .mapInArrow(_cut_blocks, CUT_SCHEMA))
+
     common = written_table(differing.groupBy("gram").count().filter(F.col("count") > max_shared).select("gram"), "common")
     many = not common.isEmpty()
-    if many:
-        cut, common = written_table(cut, "cut"), sized_broadcast(common, 100_000)
+    common = sized_broadcast(common, 100_000) if many else common
+    few = differing.join(common, "gram", "left_anti") if many else differing
     buckets = max(1, -(-int(total) // bucket_bytes))
-    few = cut.join(common, "gram", "left_anti") if many else cut
     found = known.union(
-        few.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket")
+        bytes_of(few).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket")
         .applyInArrow(_sort_bucket, RUN_SCHEMA))
     if not many:
         return found
     # a minimizer of very many differing blocks: windows one by one, dealt by content
-    windows = cut.join(common, "gram", "left_semi").mapInArrow(_window_rows, "x long, y long, doc long, first long")
+    windows = bytes_of(differing.join(common, "gram", "left_semi")).mapInArrow(
+        _window_rows, "x long, y long, doc long, first long")
     lead = windows.groupBy("x", "y").agg(F.min(F.struct("doc", "first")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
     return found.union(windows.join(lead, ["x", "y"]).filter(F.struct("doc", "first") != F.col("lead")).select(
         "doc", "first", F.lit(1).cast("long").alias("count")))
