@@ -153,9 +153,9 @@ def attach_intent_description(df: DataFrame, intent_col: str, dim: DataFrame,
     """left join to the intent dimension (broadcast when its size is
     proven small, shuffle join otherwise)."""
     from utterscope.session import sized_broadcast
-    d = dim.select(F.col("intent").alias("_intent"), F.col("description").alias("intent_description"))
-    out = df.join(sized_broadcast(d, max_dim_rows), F.col(intent_col) == F.col("_intent"), "left")
-    return out.withColumn("intent_found", F.col("_intent").isNotNull()).drop("_intent")
+    d = dim.select(F.col("intent").alias("_dim_intent"), F.col("description").alias("intent_description"))
+    out = df.join(sized_broadcast(d, max_dim_rows), F.col(intent_col) == F.col("_dim_intent"), "left")
+    return out.withColumn("intent_found", F.col("_dim_intent").isNotNull()).drop("_dim_intent")
 
 
 def build_chat_messages(df: DataFrame, raw: str, intent: str, dim: DataFrame,
@@ -185,6 +185,26 @@ def echo_generator():
     return generate
 
 
+def needs_generation(text, cleaned, min_words: int = 3) -> "F.Column":
+    """Whether the generator is asked for a row: its text is not empty and
+    its cleaned text has ``min_words`` words or more."""
+    t, c = tx._c(text), tx._c(cleaned)
+    return F.coalesce(t != "", F.lit(False)) & (c != "") & (tx.word_count(c) >= min_words)
+
+
+def normalise_phrases(df: DataFrame, text: str, intent: str, dim: DataFrame,
+                      examples: list[tuple[str, str]] | None = None, make_generator=None,
+                      out: str = "normalised") -> DataFrame:
+    """B7 -> B8 -> B10 -> B12 -> B11: rows without enough words take the
+    rule-based result; only the others are prompted and reach the generator."""
+    marked = tx.computed_once(df, "_clean", tx.strip_fillers(text))
+    asks = needs_generation(text, "_clean")
+    ruled = marked.where(~asks).withColumn(out, tx.normalise_from_clean(text, "_clean"))
+    asked = build_chat_messages(marked.where(asks), text, intent, dim, examples)
+    asked = generate_text(asked.select(*marked.columns, "messages"), "messages", "_clean", make_generator or echo_generator, out)
+    return ruled.select(*df.columns, out).union(asked.select(*df.columns, out))
+
+
 def generate_text(df: DataFrame, messages: str = "messages", fallback: str = "fallback",
                   make_generator=echo_generator, out: str = "generated") -> DataFrame:
     """Per-row generation over chat messages with a user-supplied

@@ -204,14 +204,8 @@ FROM g""")
 def generated_text(spark, sf):
     """B12 (+B8, B11): rule-based gate, then per-partition generation with the
     default generator, then the length guard."""
-    u = tb.utterances(spark, sf)
-    m = pp.build_chat_messages(u, "text", "role", intent_dim(spark), EXAMPLES)
-    m = m.withColumn("fallback", tx.strip_fillers("text"))
-    g = pp.generate_text(m, "messages", "fallback")
-    rule = tx.normalise_rule_based("text")
-    needs_gen = ~(F.col("text").isNull() | (F.col("text") == "") | (F.col("fallback") == "")
-                  | (tx.word_count("fallback") < 3))
-    return g.select("conv_id", "turn", F.when(needs_gen, F.col("generated")).otherwise(rule).alias("normalised"))
+    out = pp.normalise_phrases(tb.utterances(spark, sf), "text", "role", intent_dim(spark), EXAMPLES)
+    return out.select("conv_id", "turn", "normalised")
 
 
 @query("guard_generated", f"""WITH c AS (SELECT conv_id, turn, text, {q.strip_fillers_sql('text')} AS fb FROM conversations),
@@ -283,3 +277,30 @@ def write_report_roundtrip(spark, sf):
     rep = report(spark, sf).select("vec_id", "tool_label", "status", "summary")
     wr.write_report(rep, path, "csv")
     return rd.read_predictions(spark, path, fmt="csv").select("vec_id", "tool_label", "status", "summary")
+
+
+PREDICT_SQL = f"""WITH {q.report_cte()},
+u AS (SELECT doc_id, text AS phrase, substring({q.ustrip("coalesce(text, '')")}, 1, 512) AS txt,
+             row_number() OVER (ORDER BY doc_id) AS pos FROM documents),
+c AS (SELECT *, {q.strip_fillers_sql('txt')} AS clean FROM u),
+g AS (SELECT *, CASE WHEN length(clean) > 3 THEN clean ELSE txt END AS gen FROM c)
+SELECT CAST(g.doc_id AS VARCHAR) AS "Interaction ID", 'timestamp_' || g.pos AS "Date/time", g.phrase AS "Phrase",
+  r.bot_topic AS "Topic bot",
+  CASE WHEN txt = '' THEN '' WHEN clean = '' OR len({q.tokens_sql('clean')}) < 3 THEN txt
+       WHEN length(clean) > 5 AND length(gen) > length(clean) * 1.5 THEN clean ELSE gen END AS "Phrase normalized",
+  r.tool_label AS "Topic tool", r.summary AS "Summary", round_even(r.confidence * 10, 2) AS "Confidence"
+FROM g JOIN report r ON r.vec_id = g.doc_id % (SELECT count(*) FROM embeddings)"""
+
+
+@query("predict_job", PREDICT_SQL)
+def predict_job(spark, sf):
+    """I7 + F5: every document as an utterance, scored through the vector of
+    its id, to the eight columns of the report."""
+    from utterscope.config import InferenceSettings
+    from utterscope.operators import jobs
+    n = tb.table(spark, sf, "embeddings").agg(F.count("*")).scalar()
+    vectors = tb.scored(spark, sf).select("vec_id", "logits", "class_names", tb.bot_topic().alias("Bot Topic"))
+    d = tb.table(spark, sf, "documents").select(F.pmod("doc_id", n).alias("vec_id"), F.col("doc_id").cast("string").alias("ID"),
+                                                F.col("text").alias("Testo"), "doc_id")
+    settings = InferenceSettings(temperature=tb.TEMPERATURE, confidence_threshold=tb.THRESHOLD)
+    return jobs.predict_report(d.join(vectors, "vec_id"), lambda rows: rows, settings, ["doc_id"], intent_dim(spark), EXAMPLES)
