@@ -125,7 +125,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: fl
     return weights(np.arange(BUCKETS + 1))
 
 
-def fit_language_model(docs: DataFrame, sample_per_language: int = 600, shards: int = 4, alpha: float = 0.5,
+def fit_language_model(docs: DataFrame, sample_per_language: int = 1500, shards: int = 8, alpha: float = 0.5,
                        beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 4,
                        calibrate: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
                        lang_col: str = "lang") -> LanguageModel:
@@ -233,7 +233,7 @@ def fold_of(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % folds
 
 
-def learn_and_predict(docs: DataFrame, sample_per_language: int = 600, **columns) -> DataFrame:
+def learn_and_predict(docs: DataFrame, sample_per_language: int = 1500, **columns) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for all of ``docs``, learnt from
     the rows outside fold 0; fold 1 calibrates.  A row without an id is never
     learnt from and counts as held out."""
@@ -244,12 +244,13 @@ def learn_and_predict(docs: DataFrame, sample_per_language: int = 600, **columns
         "doc_id", F.coalesce(fold_of() == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, sample_per_language: int = 600, id_col: str = "doc_id",
+def keep_identified(docs: DataFrame, over_chance: float = 1.2, sample_per_language: int = 1500, id_col: str = "doc_id",
                     text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is identified with a calibrated
-    probability of ``min_score`` or more; texts that are null, without a
-    letter or less certain are rejected.  Learns as ``learn_and_predict``
-    does; if no row has a label, every text with a letter stays."""
+    """The rows of ``docs`` whose language is identified: texts that are null
+    or without a letter are rejected, and those for which no language is
+    ``over_chance`` times as probable as if all languages were alike.  Learns
+    as ``learn_and_predict`` does; if no row has a label, every text with a
+    letter stays."""
     fold = fold_of(id_col)
     model = fit_language_model(docs.filter(fold != 0), sample_per_language, calibrate=fold == 1,
                                id_col=id_col, text_col=text_col, lang_col=lang_col)
@@ -258,7 +259,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, sample_per_language
     def keep(values: list) -> list:
         if not shared.value.languages:
             return [has_letter(t) for t in values]
-        found = [shared.value.predict(t) for t in values]
-        return [lang != UNKNOWN and score >= min_score for lang, score in found]
+        least = min(over_chance / len(shared.value.languages), 1 - 1e-9)
+        return [lang != UNKNOWN and score >= least for lang, score in map(shared.value.predict, values)]
 
     return keep_rows(docs, text_col, keep)
