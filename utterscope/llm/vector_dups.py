@@ -107,7 +107,8 @@ def _count_links(groups: DataFrame, threshold: float) -> DataFrame:
         near &= q["id"].to_numpy()[:, None] != m["id"].to_numpy()[None, :]
         return pd.DataFrame({"id": q["id"], "linked": near @ m["copies"].to_numpy()})
 
-    return (asks.union(answers).groupBy("component", "i", "j").applyInPandas(count, "id long, linked long")
+    # dealt by block pair, or all blocks of a component would follow it into one task
+    return (asks.union(answers).repartition("component", "i", "j").groupBy("component", "i", "j").applyInPandas(count, "id long, linked long")
             .groupBy("id").agg(F.sum("linked").alias("linked")))
 
 
