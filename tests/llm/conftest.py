@@ -4,8 +4,7 @@ import pytest
 @pytest.fixture(autouse=True)
 def small_batches(spark):
     """Rows in batches, as the queries have them."""
-    from utterscope.llm.common import bounded_batches, ship_package
-    ship_package(spark)
+    from utterscope.llm.common import bounded_batches
     bounded_batches(spark, 7)
     yield
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

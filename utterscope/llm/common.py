@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,24 +15,6 @@ BATCH_ROWS = 400
 BATCH_CHARS = 1_000_000
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the executors, once per application, so that
-    their Python workers can import the operators wherever they run."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(archive))  # served by the driver; executors keep their own copy
-    _shipped.add(sc.applicationId)
-
-
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches of this session, so that a worker holds few
     texts at a time whatever the partition size."""
