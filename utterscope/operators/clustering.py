@@ -97,7 +97,8 @@ def centroid_cluster(df: DataFrame, key: str, vec: str, k: int = 10, noise_quant
 
 def discover_intents(df: DataFrame, key: str, text: str, settings) -> dict:
     """Filter -> clean -> size gates -> embed -> reduce -> cluster ->
-    keywords -> labels -> metrics.  Returns a dict of DataFrames."""
+    keywords -> labels -> metrics and report tables.  Returns a dict of
+    DataFrames."""
     from utterscope.operators import geometry as ge
     from utterscope.operators import prep as pp
     from utterscope.operators import topics as tp
@@ -118,8 +119,8 @@ def discover_intents(df: DataFrame, key: str, text: str, settings) -> dict:
     info = tp.topic_info(rows, "cleaned", "topic_id", settings.top_n_words, pre_cleaned=True)
     labels = info.select("topic_id", tx.topic_label_output("topic_id", "name").alias("discovered_intent"))
     out = tp.attach_topic_label(rows.select(key, text, "cleaned", "topic_id"), labels, "topic_id")
-    coh = ge.topic_coherence(rows, "topic_id", "embedding", "euclidean")
-    metrics = rows.agg(F.countDistinct(F.when(F.col("topic_id") != -1, F.col("topic_id"))).alias("num_clusters"),
-                       F.avg(F.when(F.col("topic_id") != -1, 1.0).otherwise(0.0)).alias("coverage"))
-    metrics = metrics.withColumn("avg_coherence_score", coh.agg(F.avg("coherence_score")).scalar())
-    return {"assignments": out, "topic_info": info, "metrics": metrics}
+    metrics = ge.clustering_metrics(rows, key, "topic_id", "embedding", settings.silhouette_max_rows)
+    coherence = ge.topic_coherence(rows, "topic_id", "embedding", "euclidean").join(
+        info.select("topic_id", "name"), "topic_id", "left").orderBy(F.desc("coherence_score"), "topic_id")
+    return {"assignments": out, "topic_info": info, "metrics": metrics, "coherence": coherence,
+            "overview": tp.discovery_overview(rows, "topic_id"), "sizes": tp.topic_sizes(rows, "topic_id")}

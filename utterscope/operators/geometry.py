@@ -33,10 +33,11 @@ def with_centroid(df: DataFrame, topic: str, vec: str, cents: DataFrame | None =
     return df.where(F.col(topic) != -1).join(sized_broadcast(c, MAX_TOPICS), topic)
 
 
-def topic_coherence(df: DataFrame, topic: str, vec: str, metric: str = "euclidean") -> DataFrame:
+def topic_coherence(df: DataFrame, topic: str, vec: str, metric: str = "euclidean",
+                    cents: DataFrame | None = None) -> DataFrame:
     """Mean and population std of the similarity of members to their
     centroid — cosine (eps 1e-8) or 1 / (1 + euclidean)."""
-    j = with_centroid(df, topic, vec)
+    j = with_centroid(df, topic, vec, cents)
     v = vx.as_double(vec)
     if metric == "cosine":
         sim = vx.dot(v, "centroid") / (vx.norm(v) * vx.norm("centroid") + F.lit(1e-8))
@@ -49,10 +50,10 @@ def topic_coherence(df: DataFrame, topic: str, vec: str, metric: str = "euclidea
                   F.stddev_pop("_sim").alias("std_coherence")))
 
 
-def davies_bouldin(df: DataFrame, topic: str, vec: str) -> DataFrame:
+def davies_bouldin(df: DataFrame, topic: str, vec: str, cents: DataFrame | None = None) -> DataFrame:
     """Mean over i of max_{j != i} (S_i + S_j) / d(c_i, c_j); pairs of
     centroids come from exploding the packed centroid table (K x K, tiny)."""
-    cents = topic_centroids(df, topic, vec)
+    cents = cents if cents is not None else topic_centroids(df, topic, vec)
     j = with_centroid(df, topic, vec, cents)
     s = (j.withColumn("_d", vx.euclidean(vx.as_double(vec), "centroid"))
           .groupBy(topic).agg(F.avg("_d").alias("s")))
@@ -74,13 +75,50 @@ def _sample(df: DataFrame, key: str, max_rows: int, seed: int) -> DataFrame:
     return df.withColumn("_h", h).orderBy("_h", key).limit(max_rows).drop("_h")
 
 
-def silhouette(df: DataFrame, key: str, topic: str, vec: str, max_rows: int = 10000,
+def centroid_silhouette(df: DataFrame, topic: str, vec: str, cents: DataFrame | None = None) -> DataFrame:
+    """The silhouette with distances to centroids in place of mean distances
+    to members: linear in the rows.  Noise excluded; 0 when fewer than 2
+    clusters.  One row: ``centroid_silhouette``, ``n``."""
+    cents = cents if cents is not None else topic_centroids(df, topic, vec)
+    # one row per topic, size-checked by with_centroid below
+    packed = cents.agg(F.collect_list(F.struct(F.col(topic).alias("t"), "centroid")).alias("_all"))
+    j = with_centroid(df, topic, vec, cents).withColumn("_all", packed.scalar())
+    own = F.struct(vx.as_double(vec).alias("v"), F.col(topic).alias("t"))
+    others = vx.with_const("_all", own, lambda c, r: F.when(c["t"] != r["t"], vx.euclidean(r["v"], c["centroid"])))
+    d = j.select(vx.euclidean(vx.as_double(vec), "centroid").alias("a"), F.array_min(others).alias("b"))
+    s = F.when(F.col("b").isNull(), F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return d.agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("centroid_silhouette"), F.count("*").alias("n"))
+
+
+def clustering_metrics(df: DataFrame, key: str, topic: str, vec: str, silhouette_rows: int | None = None) -> DataFrame:
+    """One row — silhouette, Davies-Bouldin, mean coherence, number of
+    clusters, coverage — over one kept table and one set of centroids."""
+    from utterscope.session import reliable_checkpoint
+    rows = reliable_checkpoint(df.select(key, topic, vx.as_double(vec).alias("_vec")))
+    cents = reliable_checkpoint(topic_centroids(rows, topic, "_vec"))
+    noise = F.col(topic) == -1
+    base = rows.agg(F.countDistinct(F.when(~noise, F.col(topic))).alias("num_clusters"),
+                    F.avg(F.when(noise, 0.0).otherwise(1.0)).alias("coverage"))
+    return base.select(
+        silhouette(rows, key, topic, "_vec", silhouette_rows).select("silhouette").scalar().alias("silhouette_score"),
+        davies_bouldin(rows, topic, "_vec", cents).select("davies_bouldin").scalar().alias("davies_bouldin_score"),
+        topic_coherence(rows, topic, "_vec", "euclidean", cents).agg(F.avg("coherence_score")).scalar().alias("avg_coherence_score"),
+        "num_clusters", "coverage")
+
+
+def silhouette(df: DataFrame, key: str, topic: str, vec: str, max_rows: int | None = None,
                block_rows: int = 1024, seed: int = 42) -> DataFrame:
-    """Exact Euclidean silhouette on raw vectors, noise excluded,
-    sample <= ``max_rows``; 0 when fewer than 2 clusters.  One row."""
+    """Exact Euclidean silhouette on raw vectors, noise excluded; 0 when
+    fewer than 2 clusters.  One row.
+
+    Compares all rows with all rows in blocks.  ``max_rows`` makes it the
+    sampling operator instead (rows of smallest seeded hash); for large
+    tables ``centroid_silhouette`` reads every row once.
+    """
     from utterscope.session import reliable_checkpoint
     pts = df.where(F.col(topic) != -1).select(key, topic, vx.as_double(vec).alias("_v"))
-    pts = reliable_checkpoint(_sample(pts, key, max_rows, seed))
+    pts = reliable_checkpoint(pts if max_rows is None else _sample(pts, key, max_rows, seed))
     n = pts.count()
     n_blocks = max(1, -(-n // block_rows))
     pts = pts.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int"))

@@ -65,7 +65,7 @@ def topic_coherence_cosine(spark, sf):
 
 
 SIL_SQL = f"""{T_SQL},
-s AS (SELECT * FROM t WHERE topic_id <> -1 ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 10000),
+s AS (SELECT * FROM t WHERE topic_id <> -1),
 pr AS (SELECT a.vec_id, a.topic_id AS ta, b.topic_id AS tb, {dist_sql('a.v', 'b.v')} AS d
        FROM s a JOIN s b ON a.vec_id <> b.vec_id),
 m AS (SELECT vec_id, ta, tb, avg(d) AS md FROM pr GROUP BY vec_id, ta, tb),
@@ -79,7 +79,7 @@ sil AS (SELECT avg(sv) AS silhouette FROM sc)"""
 
 @query("silhouette", f"""WITH {SIL_SQL} SELECT round(silhouette, 6) AS silhouette FROM sil""")
 def silhouette(spark, sf):
-    """Exact Euclidean silhouette (sample cap 10,000, blockwise)."""
+    """Exact Euclidean silhouette of all rows, blockwise."""
     s = ge.silhouette(tb.topic_vectors(spark, sf), "vec_id", "topic_id", "v")
     return s.select(F.round("silhouette", R6).alias("silhouette"))
 
@@ -112,15 +112,21 @@ SELECT round((SELECT silhouette FROM sil), 6) AS silhouette_score,
        round((SELECT avg(CASE WHEN topic_id <> -1 THEN 1.0 ELSE 0.0 END) FROM t), 6) AS coverage""")
 def clustering_metrics(spark, sf):
     """One row of cluster-quality metrics."""
-    t = tb.topic_vectors(spark, sf)
-    sil = ge.silhouette(t, "vec_id", "topic_id", "v").select("silhouette").scalar()
-    db = ge.davies_bouldin(t, "topic_id", "v").select("davies_bouldin").scalar()
-    coh = ge.topic_coherence(t, "topic_id", "v", "euclidean").agg(F.avg("coherence_score")).scalar()
-    base = t.agg(F.countDistinct(F.when(F.col("topic_id") != -1, F.col("topic_id"))).alias("num_clusters"),
-                 F.avg(F.when(F.col("topic_id") != -1, 1.0).otherwise(0.0)).alias("coverage"))
-    return base.select(F.round(sil, R6).alias("silhouette_score"), F.round(db, R6).alias("davies_bouldin_score"),
-                       F.round(coh, R6).alias("avg_coherence_score"), "num_clusters",
-                       F.round("coverage", R6).alias("coverage"))
+    m = ge.clustering_metrics(tb.topic_vectors(spark, sf), "vec_id", "topic_id", "v")
+    return m.select(*[F.round(c, R6).alias(c) for c in ("silhouette_score", "davies_bouldin_score", "avg_coherence_score")],
+                    "num_clusters", F.round("coverage", R6).alias("coverage"))
+
+
+@query("centroid_silhouette", f"""WITH {T_SQL},
+d AS (SELECT t.vec_id, t.topic_id, c.topic_id AS other, {dist_sql('t.v', 'c.c')} AS dist
+      FROM t CROSS JOIN cent c WHERE t.topic_id <> -1),
+ab AS (SELECT vec_id, max(CASE WHEN other = topic_id THEN dist END) AS a, min(CASE WHEN other <> topic_id THEN dist END) AS b
+       FROM d GROUP BY vec_id)
+SELECT round(avg((b - a) / greatest(a, b)), 6) AS centroid_silhouette, count(*) AS n FROM ab""")
+def centroid_silhouette(spark, sf):
+    """E22 in linear form, over all rows."""
+    s = ge.centroid_silhouette(tb.topic_vectors(spark, sf), "topic_id", "v")
+    return s.select(F.round("centroid_silhouette", R6).alias("centroid_silhouette"), "n")
 
 
 @query("topic_membership", f"""WITH {T_SQL},

@@ -257,7 +257,8 @@ def _centroid_model_factory(centroids: np.ndarray, scale: float):
     return make
 
 
-@query("score_batches")
+@query("score_batches", f"""WITH {q.classified_cte()}
+SELECT vec_id, pred_idx, round(confidence, 6) AS confidence FROM classified""")
 def score_batches(spark, sf):
     """Fixed-size (32-row) batch scoring through a pluggable model."""
     emb = tb.vectors(spark, sf)
