@@ -48,3 +48,18 @@ def test_only_rows_with_words_need_the_generator(spark):
     rows = [("a b c", "a b c"), ("a b", "a b"), ("", ""), (None, None), ("ciao", "")]
     frame = spark.createDataFrame(rows, "t string, c string")
     assert [r[0] for r in frame.select(pp.needs_generation("t", "c")).collect()] == [True, False, False, False, False]
+
+
+def test_evaluation_of_several_settings(spark):
+    rows = [(1, "A", [3.0, 0.0]), (2, "A", [0.0, 3.0]), (3, "B", [0.0, 0.1]), (4, "B", [0.0, 5.0])]
+    frame = spark.createDataFrame(rows, "id long, true_label string, logits array<double>").withColumn(
+        "class_names", jobs.F.array(jobs.F.lit("A"), jobs.F.lit("B")))
+    got = jobs.evaluate(frame, "id", [(1.0, 0.65), (1.0, 0.0)])
+    assert [got[c]["accuracy"].first()["accuracy"] for c in got] == [0.5, 0.75]
+    strict = got[1.0, 0.65]
+    report = {r["label"]: r for r in strict["classification_report"].collect()}
+    assert report["A"]["precision"] == 1.0 and report["A"]["recall"] == 0.5 and report["accuracy"]["f1"] == 0.5
+    assert {(r["true_label"], r["pred_label"]): r["n"] for r in strict["confusion_matrix"].collect() if r["n"]} == {
+        ("A", "A"): 1, ("A", "B"): 1, ("B", "UNLISTED"): 1, ("B", "B"): 1}
+    assert [r["id"] for r in strict["errors"].collect()] == [3, 2] and [r["id"] for r in strict["top_errors"].collect()] == [2]
+    assert strict["error_summary"].first()["errors"] == 2 and got[1.0, 0.0]["histogram"].count() == 20

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from utterscope.config import InferenceSettings
 from utterscope.functions import text as tx
+from utterscope.operators import metrics as mt
 from utterscope.operators import prep as pp
 from utterscope.operators import scoring as sc
+from utterscope.session import reliable_checkpoint
 
 REPORT_COLUMNS = ["Interaction ID", "Date/time", "Phrase", "Topic bot", "Phrase normalized", "Topic tool", "Summary",
                   "Confidence"]
@@ -34,3 +36,29 @@ def predict_report(utterances: DataFrame, score, settings: InferenceSettings, or
         sc.scale_confidence("confidence").alias("Confidence"), pp.gate_intent_context("tool_label").alias("_intent"))
     return pp.normalise_phrases(report, "_text", "_intent", intent_dim, examples, make_generator,
                                 out="Phrase normalized").select(*REPORT_COLUMNS)
+
+
+def evaluate(scored: DataFrame, key: str, choices: list[tuple[float, float]], nomatch: str = "NOMATCH",
+             true: str = "true_label") -> dict[tuple[float, float], dict[str, DataFrame]]:
+    """E5 to E15 and G5, G6 for each (temperature, threshold).
+
+    ``scored`` (key, true label, logits, class_names) is kept once; each
+    choice keeps its decisions (key, true, predicted, confidence), from which
+    all its reports follow.
+    """
+    kept = reliable_checkpoint(scored.select(key, F.col(true).alias("true_label"), "logits", "class_names"))
+    out = {}
+    for temperature, threshold in choices:
+        d = sc.classify(kept, temperature, threshold, nomatch).select(
+            key, "true_label", F.col("tool_label").alias("pred_label"), "confidence")
+        d = mt.with_correct(reliable_checkpoint(d))
+        wrong = d.where(~F.col("correct"))
+        out[temperature, threshold] = {
+            "accuracy": mt.accuracy(d), "f1_scores": mt.f1_scores(d), "classification_report": mt.classification_report(d),
+            "confusion_matrix": mt.confusion_matrix(d), "confidence_stats": mt.confidence_stats(d),
+            "confidence_bands": mt.confidence_bands(d), "confidence_by_correctness": mt.confidence_by_correctness(d),
+            "histogram": mt.histogram(d, "confidence", 20), "error_patterns": mt.error_patterns(d),
+            "error_summary": mt.error_summary(d),
+            "top_errors": wrong.where(F.col("confidence") >= 0.8).orderBy(F.desc("confidence"), key).limit(5),
+            "errors": wrong.orderBy("confidence", key)}
+    return out

@@ -39,22 +39,35 @@ def label_universe(df: DataFrame, true="true_label", pred="pred_label") -> DataF
     return df.select(F.col(true).alias("label")).union(df.select(F.col(pred).alias("label"))).distinct()
 
 
-def per_label_counts(df: DataFrame, true="true_label", pred="pred_label", by: list | None = None) -> DataFrame:
+def pair_counts(df: DataFrame, true="true_label", pred="pred_label", by: list | None = None) -> DataFrame:
+    """(by..., t, p, c): rows per true and predicted label, kept — the one
+    pass over the input from which label metrics follow."""
+    from utterscope.session import reliable_checkpoint
+    return reliable_checkpoint(df.groupBy(*(by or []), F.col(true).alias("t"), F.col(pred).alias("p"))
+                               .agg(F.count("*").alias("c")))
+
+
+def per_label_counts(df: DataFrame, true="true_label", pred="pred_label", by: list | None = None,
+                     pairs: DataFrame | None = None) -> DataFrame:
     """(by..., label, tp, fp, fn, support) over the label union (per group)."""
     by = list(by or [])
-    pairs = df.groupBy(*by, F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("c"))
-    tp = pairs.where(F.col("t") == F.col("p")).select(*by, F.col("t").alias("label"), F.col("c").alias("tp"))
-    sup = pairs.groupBy(*by, F.col("t").alias("label")).agg(F.sum("c").alias("support"))
-    predicted = pairs.groupBy(*by, F.col("p").alias("label")).agg(F.sum("c").alias("n_pred"))
-    keys = by + ["label"]
-    u = sup.join(predicted, keys, "full").join(tp, keys, "left").na.fill(0, ["support", "n_pred", "tp"])
-    return u.select(*keys, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"),
+    pairs = pairs if pairs is not None else pair_counts(df, true, pred, by)
+    # every pair gives its count to the true label's support and to the predicted label
+    sides = F.explode(F.array(
+        F.struct(F.col("t").alias("label"), F.col("c").alias("support"), F.lit(0).cast("long").alias("n_pred"),
+                 F.when(F.col("t") == F.col("p"), F.col("c")).otherwise(F.lit(0)).alias("tp")),
+        F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("support"), F.col("c").alias("n_pred"),
+                 F.lit(0).cast("long").alias("tp")))).alias("s")
+    u = pairs.select(*by, sides).groupBy(*by, F.col("s.label").alias("label")).agg(
+        F.sum("s.support").alias("support"), F.sum("s.n_pred").alias("n_pred"), F.sum("s.tp").alias("tp"))
+    return u.select(*by, "label", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"),
                     (F.col("support") - F.col("tp")).alias("fn"), "support")
 
 
-def per_label_prf(df: DataFrame, true="true_label", pred="pred_label", by: list | None = None) -> DataFrame:
+def per_label_prf(df: DataFrame, true="true_label", pred="pred_label", by: list | None = None,
+                  pairs: DataFrame | None = None) -> DataFrame:
     """precision/recall/F1 per label, 0 where undefined (zero_division = 0)."""
-    c = per_label_counts(df, true, pred, by)
+    c = per_label_counts(df, true, pred, by, pairs)
     p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
     out = c.withColumn("precision", p).withColumn("recall", r)
@@ -72,8 +85,10 @@ def f1_scores(df: DataFrame, true="true_label", pred="pred_label", by: list | No
 
 
 def classification_report(df: DataFrame, true="true_label", pred="pred_label") -> DataFrame:
-    """Per-label rows plus accuracy, macro avg and weighted avg rows."""
-    prf = per_label_prf(df, true, pred).select(
+    """Per-label rows plus accuracy, macro avg and weighted avg rows, all
+    from one count per pair of labels."""
+    pairs = pair_counts(df, true, pred)
+    prf = per_label_prf(df, true, pred, pairs=pairs).select(
         "label", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
     tot = F.sum("support")
     macro = prf.agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
@@ -82,10 +97,11 @@ def classification_report(df: DataFrame, true="true_label", pred="pred_label") -
                        (F.sum(F.col("precision") * F.col("support")) / tot).alias("precision"),
                        (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
                        (F.sum(F.col("f1") * F.col("support")) / tot).alias("f1"), tot.alias("support"))
-    acc = with_correct(df, true, pred).agg(
+    acc = pairs.agg(
         F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
         F.lit(None).cast("double").alias("recall"),
-        F.avg(F.col("correct").cast("double")).alias("f1"), F.count("*").alias("support"))
+        F.try_divide(F.sum(F.when(F.col("t") == F.col("p"), F.col("c")).otherwise(F.lit(0))), F.sum("c")).alias("f1"),
+        F.coalesce(F.sum("c"), F.lit(0)).alias("support"))
     return prf.unionByName(acc).unionByName(macro).unionByName(weighted)
 
 
@@ -95,10 +111,10 @@ def confusion_matrix(df: DataFrame, true="true_label", pred="pred_label") -> Dat
 
     The label universe is tiny (classes), so the square is built on it,
     not on rows."""
-    u = label_universe(df, true, pred)
+    counts = pair_counts(df, true, pred).withColumnRenamed("c", "n")
+    u = label_universe(counts, "t", "p")
     labels = u.agg(F.sort_array(F.collect_list("label")).alias("ls")).scalar()
     grid = u.select(F.col("label").alias("t"), F.explode(labels).alias("p"))
-    counts = df.groupBy(F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
     return grid.join(counts, ["t", "p"], "left").select(
         F.col("t").alias("true_label"), F.col("p").alias("pred_label"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -248,11 +248,9 @@ def evaluation_sweep(spark, sf):
     x = x.select("*", "st.temperature", "st.threshold").drop("st")
     x = x.withColumn("probs", vx.softmax("logits", F.col("temperature")))
     x = sc.argmax_confidence(x).withColumn("pl", F.element_at("class_names", F.col("pred_idx") + 1))
-    d = sc.decide_status(F.col("pl"), F.col("confidence"), 0.0)
     pred = (F.when(F.col("pl") == "NOMATCH", F.lit("NOMATCH"))
              .when(F.col("confidence") < F.col("threshold"), F.lit("UNLISTED")).otherwise(F.col("pl")))
     x = x.withColumn("pred_label", pred)
-    del d
     return x.groupBy("temperature", "threshold").agg(
         F.round(F.avg(F.when(F.col("true_label") == F.col("pred_label"), 1.0).otherwise(0.0)), R6).alias("accuracy"),
         F.round(F.avg("confidence"), R6).alias("mean_confidence"),
