@@ -3,10 +3,12 @@
 import numpy as np
 import pytest
 
-from utterscope.config import DiscoverySettings
+from utterscope.config import DiscoverySettings, TrainingSettings
 from utterscope.operators import clustering as cl
+from utterscope.operators import jobs
 from utterscope.operators import models as md
 from utterscope.operators import topics as tp
+from utterscope.operators import tuning
 
 THEMES = {"stampante": ["stampante", "carta", "inchiostro", "toner", "bloccata"],
           "pagamento": ["pagamento", "bancomat", "transazione", "rifiutata", "pos"],
@@ -83,3 +85,16 @@ def test_classifier_and_ensemble_learn_the_themes(sentences):
     models, index = md.train_ensemble(sentences, "text", "theme", "id", [1, 2])
     got = md.ensemble_predict(models, sentences, index, "id").collect()
     assert np.mean([r["pred_label"] == r["theme"] for r in got]) > 0.95 and all(0 < r["confidence"] <= 1 for r in got)
+
+
+def test_classifier_of_best_held_out_f1_is_chosen(sentences):
+    settings = TrainingSettings(label_column="theme", reg_params=(50.0, 0.01), max_iter=10, num_features=1 << 10)
+    out = jobs.train_classifier(sentences, "id", settings)
+    assert [r for r, _ in out["validation"]] == [50.0, 0.01]
+    assert dict(out["validation"])[out["reg_param"]] == max(f for _, f in out["validation"]) and out["test_f1"] == 1.0
+
+
+def test_search_over_classifier_settings(sentences):
+    settings = TrainingSettings(label_column="theme", k_folds=2, use_class_weights=False)
+    trials = jobs.search_classifier(sentences, "id", [{"max_iter": 5, "num_features": 512}, {"max_iter": 0, "num_features": 512}], settings)
+    assert trials.count() == 4 and tuning.best_trial(trials).first()["trial"] == 0

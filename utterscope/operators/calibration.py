@@ -23,13 +23,18 @@ def log_grid(lo: float = 0.1, hi: float = 10.0, n: int = 41) -> list[float]:
 
 def nll_at_temperature(df: DataFrame, temps: list[float], logits: str = "logits",
                        label_idx: str = "label") -> DataFrame:
-    """(temperature, nll) — mean of logsumexp(z/T) - z_y/T per T."""
-    x = df.select(logits, label_idx, F.explode(F.array(*[F.lit(float(t)) for t in temps])).alias("temperature"))
-    t = F.col("temperature")
-    z = vx.with_const(logits, t, lambda v, tt: v / tt)
-    x = x.withColumn("_z", z)
-    nll = vx.log_sum_exp("_z") - F.element_at("_z", F.col(label_idx) + 1)
-    return x.groupBy("temperature").agg(F.avg(nll).alias("nll"))
+    """(temperature, nll) — mean of logsumexp(z/T) - z_y/T per T.  The
+    grid is a row of averages over one pass; no input row is copied."""
+    if not temps:
+        return df.sparkSession.createDataFrame([], "temperature double, nll double")
+
+    def nll(t: float):
+        z = F.transform(logits, lambda v: v / F.lit(t))
+        return F.avg(vx.log_sum_exp(z) - F.element_at(logits, F.col(label_idx) + 1) / F.lit(t))
+
+    wide = df.agg(*[nll(float(t)).alias(f"_{i}") for i, t in enumerate(temps)])
+    points = F.array(*[F.struct(F.lit(float(t)).alias("temperature"), F.col(f"_{i}").alias("nll")) for i, t in enumerate(temps)])
+    return wide.select(F.inline(points))
 
 
 def _best(nll: DataFrame) -> tuple[float, float]:
@@ -43,6 +48,8 @@ def fit_temperature(df: DataFrame, logits: str = "logits", label_idx: str = "lab
                     n_refine: int = 21) -> tuple[float, float]:
     """I4: minimise NLL over T in [lo, hi]: log grid, then ``refine`` finer
     grids between the best point's neighbours."""
+    from utterscope.session import reliable_checkpoint
+    df = reliable_checkpoint(df.select(logits, label_idx))  # read once per grid, scored once
     grid = log_grid(lo, hi, n)
     t_best, nll_best = _best(nll_at_temperature(df, grid, logits, label_idx))
     for _ in range(refine):

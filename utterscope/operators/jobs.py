@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utterscope.config import InferenceSettings
+from utterscope.config import InferenceSettings, TrainingSettings
 from utterscope.functions import text as tx
 from utterscope.operators import metrics as mt
+from utterscope.operators import models as md
 from utterscope.operators import prep as pp
 from utterscope.operators import scoring as sc
+from utterscope.operators import splits as sp
 from utterscope.session import reliable_checkpoint
 
 REPORT_COLUMNS = ["Interaction ID", "Date/time", "Phrase", "Topic bot", "Phrase normalized", "Topic tool", "Summary",
@@ -62,3 +64,48 @@ def evaluate(scored: DataFrame, key: str, choices: list[tuple[float, float]], no
             "top_errors": wrong.where(F.col("confidence") >= 0.8).orderBy(F.desc("confidence"), key).limit(5),
             "errors": wrong.orderBy("confidence", key)}
     return out
+
+
+def _weighted_f1(model, index: DataFrame, rows: DataFrame, key: str, label: str) -> float:
+    """Weighted F1 of a classifier on labelled rows; labels it never saw
+    count as errors."""
+    named = md.score(model, rows, index).withColumn("pred_label", F.element_at(
+        "class_names", F.array_position("logits", F.array_max("logits")).cast("int")))
+    return float(mt.f1_scores(named.select(F.col(label).cast("string").alias("true_label"), "pred_label")).first()["f1_weighted"])
+
+
+def train_classifier(df: DataFrame, key: str, settings: TrainingSettings) -> dict:
+    """A classifier for each regularisation of the settings, fitted on the
+    training rows; the one of best weighted F1 on the validation rows is
+    returned with its F1 on the test rows.  Ties go to the first."""
+    text, label = settings.text_column, settings.label_column
+    outer = reliable_checkpoint(sp.stratified_split(df.select(key, text, label), label, key, settings.test_size, settings.seed))
+    test, rest = outer.where("is_test").drop("is_test"), outer.where(~F.col("is_test")).drop("is_test")
+    inner = reliable_checkpoint(sp.stratified_split(rest, label, key, settings.val_size, settings.seed))
+    train, held = inner.where(~F.col("is_test")).drop("is_test"), inner.where("is_test").drop("is_test")
+    best, scores = None, []
+    for reg in settings.reg_params:
+        model, index = md.fit_classifier(train, text, label, settings.use_class_weights, reg_param=reg,
+                                         max_iter=settings.max_iter, num_features=settings.num_features)
+        scores.append((reg, _weighted_f1(model, index, held, key, label)))
+        if best is None or scores[-1][1] > best[0]:
+            best = (scores[-1][1], reg, model, index)
+    return {"model": best[2], "labels": best[3], "reg_param": best[1], "validation": scores,
+            "test_f1": _weighted_f1(best[2], best[3], test, key, label)}
+
+
+def search_classifier(df: DataFrame, key: str, choices: list[dict], settings: TrainingSettings) -> DataFrame:
+    """I3 over classifier settings: (trial, step, f1, value) — weighted F1 of
+    every choice (arguments of the text pipeline) on every held-out fold,
+    ``value`` the running mean over folds; feeds E25 to E27."""
+    text, label = settings.text_column, settings.label_column
+    folds = reliable_checkpoint(sp.stratified_folds(df.select(key, text, label), label, key, settings.k_folds, settings.seed))
+    rows = []
+    for trial, choice in enumerate(choices):
+        total = 0.0
+        for step in range(settings.k_folds):
+            model, index = md.fit_classifier(folds.where(F.col("fold") != step), text, label, settings.use_class_weights, **choice)
+            f1 = _weighted_f1(model, index, folds.where(F.col("fold") == step), key, label)
+            total += f1
+            rows.append((trial, step, f1, total / (step + 1)))
+    return df.sparkSession.createDataFrame(rows, "trial int, step int, f1 double, value double")

@@ -58,16 +58,21 @@ def cv_trials(df: DataFrame, label: str, key: str, vec: str, settings: list[tupl
                      F.col("f1_weighted").alias("f1"), F.avg("f1_weighted").over(w).alias("value"))
 
 
+def _settings_of(trials: DataFrame) -> list[str]:
+    """The columns that say what a trial tried."""
+    return [c for c in trials.columns if c not in ("trial", "step", "f1", "value")]
+
+
 def fold_summary(trials: DataFrame) -> DataFrame:
     """Mean and population std of the fold F1 per trial."""
-    return trials.groupBy("trial", "temperature", "threshold").agg(
+    return trials.groupBy("trial", *_settings_of(trials)).agg(
         F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"), F.count("*").alias("n_folds"))
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
     """The trial with the highest mean F1 (lowest trial number on ties)."""
     s = fold_summary(trials)
-    best = s.agg(F.max_by(F.struct("trial", "temperature", "threshold", "mean_f1"),
+    best = s.agg(F.max_by(F.struct("trial", *_settings_of(trials), "mean_f1"),
                           F.struct("mean_f1", -F.col("trial"))).alias("b"))
     return best.select("b.*")
 

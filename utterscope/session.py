@@ -82,11 +82,17 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
+BROADCAST_BYTES = 64 << 20
 
-    The check reads at most ``max_rows + 1`` rows; beyond the bound the frame
-    is returned unhinted and Spark plans a shuffle join instead.
+
+def sized_broadcast(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows
+    and ``max_bytes`` bytes (of its JSON text, which is no smaller than the
+    values); beyond either bound the frame is returned unhinted and Spark
+    plans a shuffle join instead.  ``df`` is computed once: the check and the
+    join read a checkpoint of it.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    kept = reliable_checkpoint(df)
+    rows, size = kept.limit(max_rows + 1).agg(
+        F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()
+    return F.broadcast(kept) if rows <= max_rows and (size or 0) <= max_bytes else kept
