@@ -46,3 +46,22 @@ def test_planted_density_clusters(spark):
 def test_silhouette_single_cluster_is_zero(spark):
     df = spark.createDataFrame([(i, 0, [float(i), 0.0]) for i in range(5)], "id long, t int, v array<double>")
     assert ge.silhouette(df, "id", "t", "v").first()[0] == 0.0
+
+
+def test_sorted_passes_find_most_neighbours_and_rank_as_the_exact_join(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(150, 16))
+    rows = [(i, [float(x) for x in centres[i % 150] + 0.1 * rng.normal(size=16)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = {}
+    for r in nb.knn_join_sorted(df, "id", "v", k=10, block_rows=256, overlap=64).collect():
+        found.setdefault(r["id"], {})[r["rank"]] = (r["nb_id"], r["cos"])
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cos = u @ u.T
+    hit = [len({n for n, _ in f.values()} & set(np.argsort(-cos[i])[:10])) / 10 for i, f in found.items()]
+    assert len(found) == 3000 and np.mean(hit) >= 0.9
+    assert all(f[1][0] == i and len(f) == 10 for i, f in found.items())
+    small = df.where("id < 200")
+    assert sorted(map(tuple, nb.knn_join_sorted(small, "id", "v", k=5).select("id", "nb_id", "rank").collect())) == \
+        sorted(map(tuple, nb.knn_join(small, "id", "v", k=5).select("id", "nb_id", "rank").collect()))

@@ -193,6 +193,14 @@ def knn_join(spark, sf):
     return k.select("vec_id", "nb_vec_id", "rank", F.round("cos", R6).alias("cos"))
 
 
+@query("knn_join_sorted", f"""WITH {KNN_SQL}
+SELECT vec_id, nb_vec_id, CAST(rank AS INTEGER) AS rank, round(cos, 6) AS cos FROM knn""")
+def knn_join_sorted(spark, sf):
+    """F6 by sorted passes, linear in the rows (exact up to one block)."""
+    k = nb.knn_join_sorted(tb.vectors(spark, sf), "vec_id", "v", k=20)
+    return k.select("vec_id", "nb_vec_id", "rank", F.round("cos", R6).alias("cos"))
+
+
 @query("anti_label_nearest", f"""WITH {KNN_SQL},
 d AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY rank) AS rr FROM knn WHERE label <> nb_label)
 SELECT vec_id, nb_vec_id, CAST(rank AS INTEGER) AS rank, round(cos, 6) AS cos FROM d WHERE rr = 1""")
