@@ -98,3 +98,17 @@ def test_search_over_classifier_settings(sentences):
     settings = TrainingSettings(label_column="theme", k_folds=2, use_class_weights=False)
     trials = jobs.search_classifier(sentences, "id", [{"max_iter": 5, "num_features": 512}, {"max_iter": 0, "num_features": 512}], settings)
     assert trials.count() == 4 and tuning.best_trial(trials).first()["trial"] == 0
+
+
+def test_coordinates_keep_the_plane_they_lie_in(spark):
+    from utterscope.operators import geometry as ge
+    rng = np.random.default_rng(4)
+    flat = rng.normal(size=(30, 2))
+    points = flat @ np.linalg.qr(rng.normal(size=(5, 2)))[0].T
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "id long, v array<double>")
+    got = np.array([r.coords for r in ge.row_coordinates(df, "id", "v").orderBy("id").collect()])
+
+    def gaps(x):
+        return np.linalg.norm(x[:, None] - x[None, :], axis=2)
+
+    assert np.allclose(gaps(got), gaps(points))
