@@ -15,7 +15,7 @@ from utterscope.operators import topics as tp
 from utterscope.operators.clustering import vertex_components
 from utterscope.operators.components import connected_components
 from utterscope.operators.neighbors import knn_join
-from utterscope.session import scratch_table_path
+from utterscope.session import clear_scratch, scratch_table_path, written_table
 
 
 def test_long_chain_is_one_component(spark):
@@ -100,3 +100,35 @@ def test_empty_input(spark):
 
 def test_scratch_tables_are_never_shared(spark):
     assert scratch_table_path(spark, "x") != scratch_table_path(spark, "x")
+
+
+def test_settings_from_yaml(tmp_path):
+    from utterscope.config import InferenceSettings, SettingsError
+    path = tmp_path / "inference.yaml"
+    path.write_text("temperature: 1.7\nconfidence_threshold: 0.4\n")
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        with pytest.raises(SettingsError):
+            InferenceSettings.from_yaml(str(path))
+    else:
+        got = InferenceSettings.from_yaml(str(path))
+        assert (got.temperature, got.confidence_threshold) == (1.7, 0.4)
+
+
+def test_topic_info_with_representatives(spark):
+    rows = [(1, 0, "stampante rotta", 0.9), (2, 0, "stampante lenta", 0.8), (3, 1, "rete lenta", 0.7), (4, -1, "altro", 0.0)]
+    df = spark.createDataFrame(rows, "id long, topic int, text string, p double")
+    reps = tp.representative_rows(df, "topic", "id", "p", "text", 2)
+    got = {r["topic"]: r["representatives"] for r in tp.topic_info(df, "text", "topic", reps=reps).collect()}
+    assert got[0] == ["stampante rotta", "stampante lenta"] and got[1] == ["rete lenta"]
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    kept = written_table(spark.range(5), "numbers")
+    assert kept.count() == 5
+    path = kept.inputFiles()[0]
+    clear_scratch(spark)
+    from utterscope.sources.readers import path_exists
+    assert not path_exists(spark, path)
+    clear_scratch(spark)  # nothing left is no error

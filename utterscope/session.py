@@ -75,6 +75,13 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this checkpoint folder; for the end
+    of a job, when no result that reads them is left."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written_table(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a Parquet table in the shared checkpoint folder."""
     path = scratch_table_path(df.sparkSession, name)
