@@ -118,3 +118,26 @@ def test_query_links_equal_brute_force(spark):
     near = plain_links([tuple(r) for r in frame])
     want = {r.vec_id: int(n.sum()) for r, n in zip(frame, near)}
     assert want == {r.vec_id: r.n_links for r in queries.op10(spark, "/root/testdata/sf0.1").collect()}
+
+
+def test_recall_in_a_hot_cone(spark, monkeypatch):
+    monkeypatch.setattr(vector_dups, "LEAF", 256)
+    rng = np.random.default_rng(21)
+    axis = np.eye(64)[0]
+
+    def aside(n, *to):
+        u = rng.normal(size=(n, 64))
+        u[:, 0] = 0
+        for t in to:
+            u -= (u * t).sum(1)[:, None] * t
+        return u / np.sqrt((u * u).sum(1))[:, None]
+
+    u = aside(3000)  # a cone of mutual cosine 0.8
+    w = 0.525 * u[:300] + np.sqrt(1 - 0.525 ** 2) * aside(300, u[:300])  # partners at cosine 0.905
+    cone = np.sqrt(0.8) * axis + np.sqrt(0.2) * np.concatenate([u, w])
+    x = np.concatenate([cone, rng.normal(size=(3000, 64))])
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = plain_links([(i, v) for i, v in enumerate(x)])
+    got = {r.vec_id: r.n_links for r in vector_dups.near_duplicates(frame).collect()}
+    assert near[np.arange(300), np.arange(3000, 3300)].all()
+    assert sum(got.values()) >= 0.97 * near.sum()

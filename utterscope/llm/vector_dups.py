@@ -1,8 +1,12 @@
 """Near-duplicate vectors by sorted projection passes.
 
 In each pass vectors are ordered lexicographically by a string of random
-hyperplane hashes and compared with a bounded window of neighbours.  Pairs
-whose cosine passes are united across passes.  Inside a group found that way
+hyperplane hashes and compared with a bounded window of neighbours.  Where
+vectors crowd in a cone many share a long prefix, so besides that trees that
+cut a sample at the medians of random projections deal all vectors to leaves,
+inside which all pairs are compared; trees are added until the wanted share
+of partners at the threshold, drawn beside sampled vectors, has met.  Pairs
+whose cosine passes are united across passes and trees.  Inside a group found that way
 all direct links are then counted in blocks, so a dense group larger than
 the window loses none.
 """
@@ -26,6 +30,9 @@ from utterscope.session import reliable_checkpoint
 HASH_BITS = 62
 BLOCK = 1024  # members of a group that are compared at a time
 
+LEAF = 1024  # vectors of a leaf, about
+SAMPLE = 16_384  # sampled vectors that trees are built of, at least
+
 
 def passes_needed(rows: int, threshold: float, window: int, recall: float) -> int:
     """Passes after which a pair just at the threshold has met with
@@ -86,6 +93,99 @@ def _window_links(threshold: float, window: int):
     return run
 
 
+class Tree:
+    """Cuts of vectors at medians of random projections, until ``least`` of
+    the given vectors are left in a leaf."""
+
+    def __init__(self, x: np.ndarray, least: float, rng: np.random.Generator):
+        planes, cuts, below, todo = [], [], [], [(np.arange(len(x)), None)]
+        while todo:
+            rows, of = todo.pop()
+            node = len(below)
+            if of is not None:
+                below[of[0]][of[1]] = node
+            plane = rng.standard_normal(x.shape[1])
+            at = x[rows] @ plane
+            cut = np.median(at)
+            high = at > cut
+            planes.append(plane)
+            cuts.append(cut)
+            below.append([-1, -1])  # a leaf
+            if len(rows) > max(1, least) and high.any():
+                todo += [(rows[~high], (node, 0)), (rows[high], (node, 1))]
+        self.planes, self.cuts, self.below = np.array(planes), np.array(cuts), np.array(below)
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each vector."""
+        node, inner = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        while True:
+            inner = inner[self.below[node[inner], 0] >= 0]
+            if not len(inner):
+                return node
+            now = node[inner]
+            high = (x[inner] * self.planes[now]).sum(axis=1) > self.cuts[now]
+            node[inner] = self.below[now, high.astype(np.int64)]
+
+
+def grown_trees(x: np.ndarray, rows: int, threshold: float, recall: float, seed: int) -> list[Tree]:
+    """Trees of the sampled unit vectors ``x`` of ``rows``, as many as let the
+    share ``recall`` of drawn pairs at the threshold meet in a leaf."""
+    rng = np.random.default_rng([seed, x.shape[1]])
+    near = x[:4096]
+    aside = rng.standard_normal(near.shape)
+    aside -= (aside * near).sum(axis=1)[:, None] * near
+    size = np.sqrt((aside * aside).sum(axis=1))[:, None]
+    partners = threshold * near + math.sqrt(max(0.0, 1 - threshold * threshold)) * np.divide(
+        aside, size, out=np.zeros_like(aside), where=size > 1e-9)
+    trees, met = [], np.zeros(len(near), dtype=bool)
+    while not trees or met.mean() < recall:
+        trees.append(Tree(x, LEAF * len(x) / rows, rng))
+        met |= trees[-1].leaves(near) == trees[-1].leaves(partners)
+    return trees
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _leaf_links(distinct: DataFrame, threshold: float, recall: float, seed: int) -> DataFrame:
+    """Edges between vectors of a leaf whose cosine passes, as stars."""
+    trees = {}
+    sized = distinct.select("id", "v", F.size("v").alias("dim"))
+    for dim, rows in sized.groupBy("dim").count().collect():
+        some = sized.filter(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, 16 * rows // LEAF)).collect()
+        trees[dim] = grown_trees(_unit(np.array([r.v for r in some])), rows, threshold, recall, seed)
+    shared = distinct.sparkSession.sparkContext.broadcast(trees)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(1).value_lengths().to_numpy()
+            for dim in np.unique(sizes):
+                some = b.filter(pa.array(sizes == dim))
+                x = _unit(matrix(some.column(1), dim))
+                for t, tree in enumerate(shared.value[int(dim)]):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(np.full(len(x), dim, dtype=np.int32)),
+                         pa.array(tree.leaves(x)), some.column(0), some.column(1)], names=["tree", "dim", "leaf", "id", "v"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x = pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy())
+        norm = np.sqrt((x * x).sum(axis=1))
+        parts = []
+        for i in range(0, len(ids), BLOCK):
+            for j in range(i, len(ids), BLOCK):
+                a, c = slice(i, i + BLOCK), slice(j, j + BLOCK)
+                near = (x[a] @ x[c].T) / (norm[a][:, None] * norm[c][None, :]) >= threshold
+                q, m = np.nonzero(np.triu(near, 1) if i == j else near)
+                if len(q):
+                    parts.append(star_edges(ids[a][q], ids[c][m]))
+        return pd.DataFrame({"src": np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, dtype=np.int64),
+                             "dst": np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, dtype=np.int64)})
+
+    dealt = distinct.select("id", "v").mapInArrow(deal, "tree int, dim int, leaf long, id long, v array<double>")
+    return dealt.groupBy("tree", "dim", "leaf").applyInPandas(compare, "src long, dst long")
+
+
 def _count_links(groups: DataFrame, threshold: float) -> DataFrame:
     """(id, linked): per member of (component, id, copies, v) the rows of
     other members of its component whose cosine passes.  A component of many
@@ -129,7 +229,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 32
     passes = passes_needed(distinct.count(), threshold, window, recall)
     ordered = (distinct.select("id", "v").mapInArrow(_hash_rows(passes, seed), "pass int, dim int, hash long, id long, v array<double>")
                .repartitionByRange("pass", "dim", "hash").sortWithinPartitions("pass", "dim", "hash", "id"))
-    found = connected_components(ordered.mapInArrow(_window_links(threshold, window), "src long, dst long"))
+    links = ordered.mapInArrow(_window_links(threshold, window), "src long, dst long")
+    found = connected_components(links.union(_leaf_links(distinct, threshold, recall, seed)))
     found = reliable_checkpoint(found)
     linked = _count_links(found.join(distinct, "id").select("component", "id", "copies", "v"), threshold)
     nodes = (distinct.join(found, "id", "left").join(linked, "id", "left")
