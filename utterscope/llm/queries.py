@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from utterscope.llm import (
     approx_neighbors,
     bpe_codec,
+    filter_audit,
     language,
     packing,
     passages,
@@ -105,3 +106,52 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_vector_dups")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dups.near_duplicates(rows(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@register("op11_filter_audit")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), rows(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH listed AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+labelled AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+             FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+judged AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+           CAST(len(words) < 100 AS INT) AS a, CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INT) AS b,
+           CAST(100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) AS INT) AS c,
+           CAST(regexp_matches(body, '[#$%&*|]') AS INT) AS d,
+           CAST(coalesce(l.doc_id > min(l.doc_id) OVER (PARTITION BY body), false) AS INT) AS e
+    FROM listed l LEFT JOIN labelled g ON l.doc_id = g.doc_id),
+masked AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+           FROM judged GROUP BY ALL),
+survivors AS (
+    SELECT p.part, s.subset, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(coalesce(sum(good), 0) AS BIGINT) AS good,
+           CAST(coalesce(sum(toxic), 0) AS BIGINT) AS toxic
+    FROM (SELECT DISTINCT part FROM judged) p CROSS JOIN range(32) s(subset)
+    LEFT JOIN masked m ON m.part = p.part AND (m.failed & s.subset) = 0 GROUP BY ALL),
+letters AS (SELECT chr(CAST(65 + i AS INT)) AS f, CAST(1 AS BIGINT) << i AS own FROM range(5) t(i)),
+orders AS (
+    SELECT v.f || w.f || x.f || y.f || z.f AS filter_order, [v.own, w.own, x.own, y.own, z.own] AS bits
+    FROM letters v, letters w, letters x, letters y, letters z
+    WHERE v.own + w.own + x.own + y.own + z.own = 31 AND len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS own,
+                 CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS BIGINT) AS before
+          FROM orders, range(1, 6) t(step)),
+told AS (
+    SELECT b.part, s.filter_order, s.step, s.own, t.n AS kept, b.n - t.n AS removed,
+           z.n - o.n - (b.n - t.n) AS redundant, u.n - w.n AS unique_fails, b.good - t.good AS good_lost,
+           b.toxic - t.toxic AS toxic_lost
+    FROM steps s JOIN survivors b ON b.subset = s.before
+    JOIN survivors t ON t.part = b.part AND t.subset = s.before + s.own
+    JOIN survivors z ON z.part = b.part AND z.subset = 0
+    JOIN survivors o ON o.part = b.part AND o.subset = s.own
+    JOIN survivors u ON u.part = b.part AND u.subset = 31 - s.own
+    JOIN survivors w ON w.part = b.part AND w.subset = 31)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM told
+"""
