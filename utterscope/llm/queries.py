@@ -18,8 +18,10 @@ from utterscope.llm import (
     language,
     packing,
     passages,
+    quality_rules,
     secrets,
     simhash,
+    source_audit,
     suffix_dups,
     token_counts,
     vector_dups,
@@ -155,3 +157,47 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM told
 """
+
+
+@register("op12_source_audit")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(documents(spark, sf_dir))
+
+
+ORACLES["op12_source_audit"] = r"""
+WITH read AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+grps AS (SELECT DISTINCT lang, source FROM read),
+spread AS (SELECT doc, lang, source, unnest(terms) AS term FROM read),
+kept AS (SELECT lang, term, count(*) AS total FROM spread GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+counted AS (SELECT lang, source, term, count(*) AS n FROM spread GROUP BY lang, source, term),
+dense AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n
+          FROM grps g JOIN kept k ON k.lang = g.lang
+          LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+rated AS (
+    SELECT lang, source, term, n,
+           1 + (CAST(1000000000 AS HUGEINT) * (n + 1)) // (sum(n) OVER own + count(*) OVER own) AS p,
+           1 + (CAST(1000000000 AS HUGEINT) * (total + 1)) // (sum(total) OVER own + count(*) OVER own) AS q
+    FROM dense WINDOW own AS (PARTITION BY lang, source)),
+pairs AS (
+    SELECT g.lang, g.source, h.source AS item,
+           coalesce(v.value, 0) AS value
+    FROM grps g JOIN grps h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+               FROM rated a JOIN rated b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) v
+    ON v.lang = g.lang AND v.source = g.source AND v.item = h.source),
+listed AS (
+    SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM rated WHERE n > 0 AND p > q),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM listed)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@register("op13_quality_rules")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.score_quality(documents(spark, sf_dir))
