@@ -52,6 +52,7 @@ RULES = (
     Rule("repeated_lines", (0, 0.1), (0, 0.3)),
     Rule("repeated_words", (0, 0.2), (0, 0.4)),
     Rule("letters", (0.85, 1), (0.7, 1)),
+    Rule("lettered_words", (0.9, 1), (0.8, 1)),
     Rule("capitals", (0, 0.15), (0, 0.4)),
     Rule("sentence_ends", (0.5, 1), (0.1, 1)),
     Rule("line_words", (5, math.inf), (2, math.inf)),
@@ -99,7 +100,8 @@ def measures(text: str) -> dict[str, float]:
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines,
         "n_repeat_words": n_repeat_words, "word_length": share(word_chars, n_words), "symbols": share(n_symbols, n_words),
         "repeated_lines": share(n_dup_lines, n_lines, 2), "repeated_words": share(n_repeat_words, n_words, 4),
-        "letters": share(letters, word_chars), "capitals": share(len(data) - _without(data, CAPITALS), letters),
+        "letters": share(letters, word_chars),
+        "lettered_words": share(sum(1 for w in words if _without(w, NOT_LETTERS)), n_words), "capitals": share(len(data) - _without(data, CAPITALS), letters),
         "sentence_ends": share(ended, n_lines), "line_words": share(n_words, n_lines),
     }
 
@@ -142,26 +144,31 @@ class Accuracies:
         odds = math.log(self.prior / (1 - self.prior)) + (votes == GOOD) @ for_good + (votes == BAD) @ for_bad
         return 1 / (1 + np.exp(-odds))
 
+    def log_likelihood(self, votes: np.ndarray) -> np.ndarray:
+        good, bad = votes == GOOD, votes == BAD
+        return np.logaddexp(math.log(self.prior) + good @ np.log(self.on_good) + bad @ np.log(1 - self.on_good),
+                            math.log(1 - self.prior) + good @ np.log(1 - self.on_bad) + bad @ np.log(self.on_bad))
 
-def fit_accuracies(votes: np.ndarray, counts: np.ndarray, rounds: int = 500, tolerance: float = 1e-10,
-                   start: float = 0.8, weight: float = 10.0) -> Accuracies:
-    """Expectation-maximisation over vote patterns (rows of ``votes``, each
-    held by ``counts`` texts).
 
-    Every rule starts right in ``start`` of its votes, with the weight of
-    ``weight`` texts throughout, and is taken to be no worse than chance, so
-    that the two classes can't change places.
-    """
+# What is believed of a rule before it is seen, with the weight of so many
+# texts: seldom wrong on good texts, and blind to most kinds of bad ones.
+BELIEF = (0.95, 0.3)
+BELIEF_TEXTS = 10.0
+STARTS = ((0.95, 0.3, 0.9), (0.8, 0.8, 0.5), (0.99, 0.1, 0.8))  # on good, on bad, prior
+
+
+def _fit_from(start: tuple[float, float, float], votes: np.ndarray, counts: np.ndarray, rounds: int,
+              tolerance: float) -> Accuracies:
     k = votes.shape[1]
-    now = Accuracies(np.full(k, start), np.full(k, start), 0.5)
+    now = Accuracies(np.full(k, start[0]), np.full(k, start[1]), start[2])
     said_good, said_bad = votes == GOOD, votes == BAD
     for _ in range(rounds):
         good = now.posterior(votes) * counts
         bad = counts - good
         g1, g0, b1, b0 = good @ said_good, good @ said_bad, bad @ said_good, bad @ said_bad
-        new = Accuracies(np.clip((g1 + weight * start) / (g1 + g0 + weight), 0.5, 0.999),
-                         np.clip((b0 + weight * start) / (b0 + b1 + weight), 0.5, 0.999),
-                         (good.sum() + 1) / (counts.sum() + 2))
+        on_good = np.clip((g1 + BELIEF_TEXTS * BELIEF[0]) / (g1 + g0 + BELIEF_TEXTS), 0.001, 0.999)
+        on_bad = np.clip((b0 + BELIEF_TEXTS * BELIEF[1]) / (b0 + b1 + BELIEF_TEXTS), 0.001, 0.999)
+        new = Accuracies(on_good, np.maximum(on_bad, 1 - on_good), (good.sum() + 1) / (counts.sum() + 2))
         moved = max(abs(new.on_good - now.on_good).max(), abs(new.on_bad - now.on_bad).max(), abs(new.prior - now.prior))
         now = new
         if moved < tolerance:
@@ -169,6 +176,18 @@ def fit_accuracies(votes: np.ndarray, counts: np.ndarray, rounds: int = 500, tol
     return now
 
 
+def fit_accuracies(votes: np.ndarray, counts: np.ndarray, rounds: int = 1000, tolerance: float = 1e-10) -> Accuracies:
+    """Expectation-maximisation over vote patterns (rows of ``votes``, each
+    held by ``counts`` texts), from each of ``STARTS``; the likeliest result.
+
+    A rule may say good of most bad texts, since each looks for one kind of
+    fault, but not more often than of good ones: so the two classes can't
+    change places.
+    """
+    return max((_fit_from(s, votes, counts, rounds, tolerance) for s in STARTS),
+               key=lambda fit: float(counts @ fit.log_likelihood(votes)))
+
+
 def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
