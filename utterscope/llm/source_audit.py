@@ -24,6 +24,7 @@ LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 UNIT = 1_000_000_000
 MAX_GROUPS_BROADCAST = 1_000_000  # groups handed to all tasks, within the byte bound; more are joined by shuffle
+MAX_DIGESTS_BROADCAST = 1_000_000  # kept digests handed to all tasks, likewise
 HELD_ROWS = 1_000_000  # counts that a task combines before it sends them
 PAIRS_AT_ONCE = 2_000_000
 
@@ -62,13 +63,17 @@ class Terms:
         weighed = (inside.astype(np.uint64) + np.uint64(1)) * _PLACES[which][place & 255]
         return _finished(np.add.reduceat(weighed, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64) * _PLACES[which][0])
 
-    def distinct(self) -> tuple[np.ndarray, list[str]]:
-        """Each digest with each of its terms, once."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each digest with each of its terms, once: digests, second hashes
+        and numbers of occurrences."""
         check = self._hash(1) ^ (self.ends - self.starts).astype(np.uint64)
         order = np.lexsort((check, self.digest))
         d, c = self.digest[order], check[order]
         at = order[np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])])] if len(order) else order
-        return self.digest[at], [self.data[a:b].decode() for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist())]
+        return self.digest[at], check[at], at
+
+    def spelled(self, at: np.ndarray) -> list[str]:
+        return [self.data[a:b].decode() for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist())]
 
 
 def _read(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -135,14 +140,23 @@ def _group_counts(bits: int):
 
 
 def _written_terms(bits: int):
-    """(digest, term), each pair once in a stretch of texts."""
+    """(digest, term): each pair at least once, once in a task as far as
+    memory is bounded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 0), dtype=np.uint64)  # digests in order, with the second hash of one term
         for b in batches:
             values = b.column(0).to_pylist()
             for lo, hi in stretches(values):
-                digests, terms = Terms(values[lo:hi], bits).distinct()
-                yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), pa.array(terms, type=pa.string())],
+                t = Terms(values[lo:hi], bits)
+                digests, checks, at = t.distinct()
+                if seen.shape[1]:
+                    place = np.minimum(np.searchsorted(seen[0], digests), seen.shape[1] - 1)
+                    new = (seen[0, place] != digests) | (seen[1, place] != checks)
+                    digests, checks, at = digests[new], checks[new], at[new]
+                yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), pa.array(t.spelled(at), type=pa.string())],
                                                  names=["digest", "term"])
+                both = np.concatenate([seen if seen.shape[1] < HELD_ROWS else seen[:, :0], np.stack([digests, checks])], axis=1)
+                seen = both[:, np.argsort(both[0], kind="stable")]
     return run
 
 
@@ -183,7 +197,7 @@ def kept_terms(read: DataFrame, seed: int, least: int, bits: int = 64) -> tuple[
     rows = read.select("text", *_numbers(seed))
     terms = written_table(_kept(rows.mapInArrow(_group_counts(bits), "lng long, digest long, grp long, n long, docs long"),
                                 least, "lng", "digest"), "kept_terms")
-    wanted = terms.select("digest").distinct()
+    wanted = sized_broadcast(terms.select("digest").distinct(), MAX_DIGESTS_BROADCAST)
     spelled = read.select("text").mapInArrow(_written_terms(bits), "digest long, term string")
     strings = written_table(spelled.join(wanted, "digest", "left_semi").groupBy("digest").agg(
         F.min("term").alias("least"), F.max("term").alias("greatest")), "term_strings")
