@@ -1,7 +1,9 @@
 """Exact k-nearest-neighbour join (F6) and nearest other-label row.
 
-No cross join and no all-pairs: rows are partitioned into Voronoi cells of
-P pivots (a deterministic hash sample, P bounded by a parameter).  For each
+Rows are partitioned into Voronoi cells of P pivots (a deterministic hash
+sample, P bounded by a parameter).  On rows without structure no cell can be
+left out, so all rows meet all rows, in bounded blocks; ``neighbor_graph`` is
+the linear, approximate form.  For each
 row an upper bound on its k-th neighbour distance comes from the cells'
 pivot-to-member radii, and a lower bound per cell comes from the triangle
 inequality and the bisecting hyperplane; only cells whose lower bound is
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterscope.functions import vectors as vx
+from utterscope.operators.neighbor_graph import knn_join_sorted, neighbor_graph  # noqa: F401
 
 
 def _unit(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -110,64 +113,6 @@ def first_members(cos, query_ids, member_ids, k: int):
     return np.nonzero(above | (ties & (np.cumsum(ties, axis=1) <= missing)))
 
 
-def knn_join_sorted(df: DataFrame, key: str, vec: str, k: int = 20, passes: int = 12, block_rows: int = 2048,
-                    overlap: int = 256, seed: int = 42) -> DataFrame:
-    """Approximate F6 that is linear in the rows: in each pass rows are
-    ordered by a string of random hyperplane signs and compared inside blocks
-    of neighbours in that order; the candidates of all passes are ranked by
-    their exact cosine, as ``knn_join`` ranks.  Tables of up to
-    ``block_rows`` rows get the exact result.  (key, nb_<key>, rank, cos);
-    vectors must have one length, keys must be long.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    rows = _unit(df.select(F.col(key).cast("long").alias(key), vec), key, vec).select(key, "_u")
-
-    def hashed(batches):
-        planes = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            u = np.stack([np.asarray(x, dtype=np.float64) for x in b.column(1).to_pylist()])
-            if planes is None:
-                planes = [np.random.default_rng([seed, p]).standard_normal((u.shape[1], 62)) for p in range(passes)]
-            for p, plane in enumerate(planes):
-                place = ((u @ plane) > 0).astype(np.int64) @ (np.int64(1) << np.arange(61, -1, -1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), p, dtype=np.int32)), pa.array(place), b.column(0), b.column(1)],
-                                                 names=["pass", "place", key, "u"])
-
-    def compared(batches):
-        held_pass, ids, u = None, [], []
-
-        def block():
-            order = np.argsort(np.array(ids), kind="stable")
-            i, x = np.array(ids)[order], np.array(u)[order]
-            cos = np.round(x @ x.T, 12)
-            q, m = first_members(cos, i, i, k)
-            return pa.RecordBatch.from_arrays([pa.array(i[q]), pa.array(i[m]), pa.array(cos[q, m])], names=[key, f"nb_{key}", "cos"])
-
-        for b in batches:
-            for p, i, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if p != held_pass:
-                    if ids:
-                        yield block()
-                    held_pass, ids, u = p, [], []
-                ids.append(i)
-                u.append(v)
-                if len(ids) == block_rows:
-                    yield block()
-                    ids, u = ids[-overlap:], u[-overlap:]  # neighbours across the border of two blocks
-        if ids:
-            yield block()
-
-    ordered = (rows.mapInArrow(hashed, f"pass int, place long, {key} long, u array<double>")
-               .repartitionByRange("pass", "place").sortWithinPartitions("pass", "place", key))
-    found = ordered.mapInArrow(compared, f"{key} long, nb_{key} long, cos double").dropDuplicates([key, f"nb_{key}"])
-    w = Window.partitionBy(key).orderBy((F.col(key) == F.col(f"nb_{key}")).desc(), F.desc("cos"), F.col(f"nb_{key}"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, f"nb_{key}", "rank", "cos")
-
-
 def _cell_topk(queries: DataFrame, members: DataFrame, key: str, extra: list, k: int,
                block_rows: int) -> DataFrame:
     """Per-cell top-k in bounded blocks.  A cell's visiting queries and its
