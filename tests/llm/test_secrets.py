@@ -106,3 +106,36 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex")]
         assert set(want) <= set(r.spans.split(","))
+
+
+def test_indented_and_written_out_line_breaks():
+    for data, kind in ((RSA, "der_key"), (EC, "der_key"), (ssh_key(), "ssh_key")):
+        text = base64.b64encode(data).decode()
+        lines = [text[i:i + 64] for i in range(0, len(text), 64)]
+        yaml = "key: |\n" + "".join(f"    {x}\n" for x in ["-----BEGIN KEY-----", *lines, "-----END KEY-----"])
+        for written in (yaml, json.dumps({"key": "-----BEGIN KEY-----\n" + "\n".join(lines) + "\n-----END KEY-----\n"}),
+                        "a\\r\\n" + "\\r\\n".join(lines) + "\\r\\n", "\r\n\t".join(lines)):
+            spans = secrets.find_spans(written)
+            assert [k for *_, k in spans] == [kind], written[:80]
+            start, end, _ = spans[0]
+            assert written[start:].startswith(lines[0]) and written[:end].endswith(lines[-1])
+
+
+def test_a_key_ends_where_its_length_says_so():
+    text = base64.b64encode(RSA).decode()
+    lines = "\n".join(text[i:i + 64] for i in range(0, len(text), 64))
+    found = secrets.find_spans(f"{lines}\nmore\nlines\n{lines}")
+    assert [(s, e, k) for s, e, k in found] == [(0, len(lines), "der_key"), (len(lines) + 12, 2 * len(lines) + 12, "der_key")]
+    assert kinds(lines.rstrip("=") + "AAAA") == []  # goes on in its last line
+
+
+def test_long_base64_takes_time_in_proportion():
+    import time
+    rng = random.Random(6)
+    for head in ("M", "MIIE", "MIIEpAIBAAKCAQEA", "b3BlbnNzaC1rZXktdjEA"):
+        body = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64 - len(head)))
+        text = (head + body + "\n") * (5_000_000 // 65)
+        at = time.time()
+        found = secrets.find_spans(text)
+        assert not [f for f in found if f[2] in ("der_key", "ssh_key")]
+        assert time.time() - at < 8  # alone on a machine under 2

@@ -34,7 +34,11 @@ CONFIRMED = ["der_key", "ssh_key", "signed_token"]
 KINDS = [k for k, *_ in BASE] + CONFIRMED
 
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the same as runs of any length, then the long ones
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]|b3Bl)[A-Za-z0-9+/_-]{22,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+# how a key in base64 begins, its lines, and what may stand between them: a
+# line break, written out or not, and indentation
+_KEY = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))(?:M[A-Za-z0-9+/_-]{23}|b3Bl[A-Za-z0-9+/_-]{20})")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*(?=[A-Za-z0-9+/_-])")
 _HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{40,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
@@ -86,26 +90,87 @@ def is_der_key(data: bytes) -> bool:
     return tags[1] == OCTETS and len(fields[1][1]) >= 16 and all(t in (CONTEXT_0, 0xA1) for t in tags[2:])  # SEC1
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether ``data`` is an OpenSSH private key: the magic string, then
-    cipher, key derivation, options, key count and as many public keys."""
+def ssh_key_size(data: bytes) -> int:
+    """The size of the OpenSSH private key that ``data`` begins with (the
+    magic string, then cipher, key derivation, options, key count, as many
+    public keys and the private part), 0 if it begins with none, or, negative,
+    how many bytes it takes to go on reading."""
     magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
-        return False
-    at, parts = len(magic), []
-    while len(parts) < 3:
-        size = int.from_bytes(data[at:at + 4], "big")
-        if at + 4 + size > len(data):
-            return False
-        parts.append(data[at + 4:at + 4 + size])
-        at += 4 + size
-    keys, at = int.from_bytes(data[at:at + 4], "big"), at + 4
-    for _ in range(keys + 1):
-        size = int.from_bytes(data[at:at + 4], "big")
-        if not size or at + 4 + size > len(data):
-            return False
-        at += 4 + size
-    return keys >= 1 and parts[0].isascii() and parts[1].isascii()
+    if not data.startswith(magic[:len(data)]):
+        return 0
+    at, part, keys = len(magic), 0, 1
+    while part < 5 + keys:
+        if at + 4 > len(data):
+            return -(at + 4)
+        size, at = int.from_bytes(data[at:at + 4], "big"), at + 4
+        if part == 3:
+            keys = size
+            if not keys:
+                return 0
+        elif size > MAX_KEY or (part > 3 and not size):
+            return 0
+        else:
+            if part < 2 and not data[at:at + size].isascii():
+                return 0
+            at += size
+        part += 1
+    return at if at <= len(data) else -at
+
+
+def der_key_size(data: bytes) -> int:
+    """The size of the DER value that ``data`` begins with, if it may be a
+    private key: a sequence that begins with version 0 or 1 or a sequence."""
+    if len(data) < 8 or data[0] != SEQUENCE:
+        return 0
+    width = data[1] & 0x7F if data[1] >= 0x80 else 0
+    if data[1] == 0x80 or width > 4:
+        return 0
+    size = int.from_bytes(data[2:2 + width], "big") if width else data[1]
+    inner = data[2 + width:5 + width]
+    known = inner[:1] == bytes([SEQUENCE]) or inner in (b"\x02\x01\x00", b"\x02\x01\x01")
+    return 2 + width + size if known and size <= MAX_KEY else 0
+
+
+MAX_KEY = 1 << 20  # bytes of a private key: many times the largest in use
+
+
+def key_at(text: str, start: int) -> tuple[int, str] | None:
+    """(end, kind) of the private key in base64 that begins at ``start``.
+
+    Its first bytes tell its length, so no more than the key is read, and
+    once.  It must end where a line does; padding belongs to it.
+    """
+    head = unbase64(text[start:start + 24])
+    if head is None:
+        return None
+    kind = "der_key" if head[0] == SEQUENCE else "ssh_key"
+    size = der_key_size(head) if kind == "der_key" else ssh_key_size(head)
+    while size:
+        want = -(-abs(size) * 8 // 6)
+        parts, have, at = [], 0, start
+        while True:
+            line = _LINE.match(text, at)
+            if not line:
+                return None
+            parts.append(line.group()[:want - have])
+            have, at = have + len(parts[-1]), at + len(parts[-1])
+            if have == want:
+                break
+            gap = _BREAK.match(text, at)
+            if not gap:
+                return None
+            at = gap.end()
+        data = unbase64("".join(parts))
+        if data is None:
+            return None
+        if size > 0:
+            if at < line.end() or (kind == "der_key" and not is_der_key(data[:size])):
+                return None
+            while at < len(text) and text[at] == "=" and at - line.end() < -want % 4:
+                at += 1
+            return at, kind
+        size = ssh_key_size(data)
+    return None
 
 
 def unbase64(text: str) -> bytes | None:
@@ -139,16 +204,12 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     for m in _JWT.finditer(text):
         if is_signed_token(m.group(1), m.group(2)):
             found.append((m.start(), m.end(), "signed_token"))
-    for m in _B64.finditer(text):
-        data = unbase64(m.group())
-        # a key may be followed by further text on the next lines
-        lines = [m.end()] if data and (is_der_key(data) or is_ssh_key(data)) else [
-            m.start() + x.start() for x in re.finditer(r"\r?\n", m.group())][::-1]
-        for end in lines:
-            data = unbase64(text[m.start():end])
-            if data and (is_der_key(data) or is_ssh_key(data)):
-                found.append((m.start(), end, "ssh_key" if is_ssh_key(data) else "der_key"))
-                break
+    at = 0
+    while m := _KEY.search(text, at):
+        key = key_at(text, m.start())
+        if key:
+            found.append((m.start(), *key))
+        at = key[0] if key else m.end()
     for m in _HEX_KEY.finditer(text):
         if len(m.group()) % 2 == 0 and is_der_key(bytes.fromhex(m.group())):
             found.append((m.start(), m.end(), "der_key"))
