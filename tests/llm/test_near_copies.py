@@ -90,3 +90,14 @@ def test_majority_bits_of_long_and_empty_runs():
         part = [int(h) for h in hashes[at:at + n]]
         at += n
         assert int(g) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in part) > n)
+
+
+def test_an_id_of_several_texts_keeps_each_that_is_first(spark):
+    rows = [(1, "one two three four five", "a"), (1, "six seven eight nine ten", "b"), (2, "red green blue black white", "c"),
+            (3, "six seven eight nine ten", "d"), (1, "one two three four five", "e"), (None, "one two three four five", "f"),
+            (4, None, "g"), (5, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = simhash.keep_first(docs.repartition(3))
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert got == [(0, rows[0][1]), (1, rows[0][1]), (1, rows[1][1]), (2, rows[2][1]), (4, None)]
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, simhash.keep_first(docs).collect()))

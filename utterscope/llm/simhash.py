@@ -16,8 +16,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from utterscope.llm.common import map_texts, texts
 from utterscope.llm.rows import free_name
@@ -76,17 +77,21 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints_of(values: list[str], words: int) -> np.ndarray:
+    """The fingerprints of texts, as signed longs."""
+    fp = []
+    for at in range(0, len(values), 50):
+        hashed = [shingle_hashes(t, words) for t in values[at:at + 50]]
+        flat = np.fromiter((h for x in hashed for h in x), dtype=np.uint64)
+        fp.append(majority_bits(flat, np.array([len(x) for x in hashed], dtype=np.int64)))
+    return np.concatenate(fp).view(np.int64) if fp else np.zeros(0, dtype=np.int64)
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprint (as a signed long) of every whole
     text; 0 for a text without words (null: empty)."""
     def batch(ids: list, values: list) -> dict:
-        fp = []
-        for at in range(0, len(values), 50):
-            hashed = [shingle_hashes(t, words) for t in values[at:at + 50]]
-            flat = np.fromiter((h for x in hashed for h in x), dtype=np.uint64)
-            fp.append(majority_bits(flat, np.array([len(x) for x in hashed], dtype=np.int64)))
-        return {"doc_id": pa.array(ids, type=pa.int64()),
-                "fp": pa.array(np.concatenate(fp).view(np.int64) if fp else [], type=pa.int64())}
+        return {"doc_id": pa.array(ids, type=pa.int64()), "fp": pa.array(fingerprints_of(values, words), type=pa.int64())}
 
     return map_texts(texts(docs, id_col, text_col), batch, "doc_id long, fp long")
 
@@ -200,6 +205,15 @@ def links(fps: DataFrame, max_bits: int = 4, max_list: int = MAX_LIST) -> DataFr
     return short.union(starred)
 
 
+def _rooted(marked: DataFrame, max_bits: int, max_list: int) -> DataFrame:
+    """(fp, doc, root) of the fingerprints of (doc_id, fp): the smallest id
+    that has it and the fingerprint that stands for its component."""
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    found = connected_components(links(first.select("fp"), max_bits, max_list))
+    return reliable_checkpoint(first.join(found.withColumnRenamed("id", "fp"), "fp", "left").select(
+        "fp", "doc", F.coalesce("component", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, max_list: int = MAX_LIST,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
@@ -212,24 +226,47 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, max_list
     stay; an empty table gives an empty table; other columns are left out.
     """
     marked = reliable_checkpoint(fingerprints(docs, words, id_col, text_col))
-    first = marked.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    found = connected_components(links(first.select("fp"), max_bits, max_list))
-    rooted = first.join(found.withColumnRenamed("id", "fp"), "fp", "left").select(
-        "fp", "doc", F.coalesce("component", "fp").alias("root"))
-    rooted = reliable_checkpoint(rooted)
+    rooted = _rooted(marked, max_bits, max_list)
     named = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     of_fp = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_fingerprints(docs: DataFrame, words: int, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the fingerprint of each row's text as a last column."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = fingerprints_of([t or "" for t in b.column(at).to_pylist()], words)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, type=pa.int64())], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def keep_first(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when of each near-duplicate group only
-    the document of smallest id does; of rows that repeat its id one stays,
-    and documents without an id, which no group can name, all stay."""
-    first = free_name(docs, "kept_id")
-    kept = (near_duplicates(docs, words, max_bits, id_col=id_col, text_col=text_col)
-            .select(F.col("component_id").alias(first)).filter(F.col(first).isNotNull()).distinct())
-    named = docs.join(kept, docs[id_col] == kept[first], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(docs[id_col].isNull()))
+    the document of smallest id does, and of those of one id that with the
+    smallest fingerprint.  Of rows with the same id and fingerprint the first
+    by the SHA-256 of its text stays; documents without an id, which no group
+    can name, all stay.  An id that stands for different texts keeps each
+    that is first in its group."""
+    marked = reliable_checkpoint(fingerprints(docs, words, id_col, text_col).filter("doc_id IS NOT NULL"))
+    kept = marked.join(_rooted(marked, max_bits, MAX_LIST).select("fp", "root"), "fp").groupBy("root").agg(
+        F.min(F.struct("doc_id", "fp")).alias("first")).select("first.*")
+    first, own, order = (free_name(docs, n) for n in ("kept_id", "own_print", "row_order"))
+    repeated = reliable_checkpoint(marked.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(first)))
+    ids = kept.select(F.col("doc_id").alias(first)).distinct()
+    once = docs.join(repeated, docs[id_col] == repeated[first], "left_anti") if not repeated.isEmpty() else docs
+    out = once.filter(F.col(id_col).isNotNull()).join(ids, F.col(id_col) == F.col(first), "left_semi").unionByName(
+        docs.filter(docs[id_col].isNull()))
+    if repeated.isEmpty():
+        return out
+    again = _with_fingerprints(docs.join(repeated, docs[id_col] == repeated[first], "left_semi"), words, text_col, own)
+    among = kept.select(F.col("doc_id").alias(first), F.col("fp").alias("kept_print"))
+    again = again.join(among, (F.col(id_col) == F.col(first)) & (F.col(own) == F.col("kept_print")), "left_semi")
+    w = Window.partitionBy(id_col, own).orderBy(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256), F.hash("*"))
+    ranked = again.withColumn(order, F.row_number().over(w)).filter(F.col(order) == 1)
+    return out.unionByName(ranked.select(*docs.columns))
