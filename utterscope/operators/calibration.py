@@ -1,7 +1,8 @@
 """Temperature calibration.
 
-The NLL over a temperature grid is one pass: each scored row is expanded by
-a generator over the (small, fixed) grid and ``groupBy(T).avg`` reduces it.
+The NLL over a temperature grid is one pass: each scored row, its logits
+shifted once, is expanded by a generator over the (small, fixed) grid and
+partial averages per temperature reduce it before the shuffle.
 The fit refines the grid around the best point twice (NLL is convex in
 1/T), i.e. three aggregate passes instead of a driver-side optimiser loop
 over rows.
@@ -23,18 +24,17 @@ def log_grid(lo: float = 0.1, hi: float = 10.0, n: int = 41) -> list[float]:
 
 def nll_at_temperature(df: DataFrame, temps: list[float], logits: str = "logits",
                        label_idx: str = "label") -> DataFrame:
-    """(temperature, nll) — mean of logsumexp(z/T) - z_y/T per T.  The
-    grid is a row of averages over one pass; no input row is copied."""
+    """(temperature, nll) — mean of logsumexp(z/T) - z_y/T per T.
+
+    Logits are shifted by their maximum once per row; a row is then expanded
+    over the grid and averaged before any shuffle, one sum per temperature."""
     if not temps:
         return df.sparkSession.createDataFrame([], "temperature double, nll double")
-
-    def nll(t: float):
-        z = F.transform(logits, lambda v: v / F.lit(t))
-        return F.avg(vx.log_sum_exp(z) - F.element_at(logits, F.col(label_idx) + 1) / F.lit(t))
-
-    wide = df.agg(*[nll(float(t)).alias(f"_{i}") for i, t in enumerate(temps)])
-    points = F.array(*[F.struct(F.lit(float(t)).alias("temperature"), F.col(f"_{i}").alias("nll")) for i, t in enumerate(temps)])
-    return wide.select(F.inline(points))
+    shifted = df.select(vx.with_const(logits, F.array_max(logits), lambda z, most: z - most).alias("z"), label_idx)
+    grid = shifted.select("z", F.get("z", F.col(label_idx)).alias("zy"),
+                          F.explode(F.array(*[F.lit(float(t)) for t in temps])).alias("temperature"))
+    total = F.aggregate("z", F.lit(0.0), lambda acc, z: acc + F.exp(z / F.col("temperature")))
+    return grid.groupBy("temperature").agg(F.avg(F.log(total) - F.col("zy") / F.col("temperature")).alias("nll"))
 
 
 def _best(nll: DataFrame) -> tuple[float, float]:
