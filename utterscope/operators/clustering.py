@@ -8,8 +8,9 @@
   edges with max(core_i, core_j, d_ij) <= eps (default: twice the median
   core distance) -> connected components (alternating star steps until
   converged, checkpointed every round) -> components smaller
-  than min_cluster_size become noise (-1); ids by size desc.  This is not
-  HDBSCAN's excess-of-mass selection.
+  than min_cluster_size become noise (-1); ids by size desc.  Excess-of-mass
+  selection over the whole hierarchy, which the discovery job uses, is in
+  ``stability``.
 * H9 centroid clusters: KMeans + a distance-quantile noise cut.
 """
 
@@ -25,6 +26,7 @@ from utterscope.functions import text as tx
 from utterscope.functions import vectors as vx
 from utterscope.operators.components import connected_components
 from utterscope.operators.prep import dense_index
+from utterscope.operators.stability import stability_cluster
 from utterscope.session import reliable_checkpoint
 
 
@@ -97,8 +99,8 @@ def centroid_cluster(df: DataFrame, key: str, vec: str, k: int = 10, noise_quant
 
 def discover_intents(df: DataFrame, key: str, text: str, settings) -> dict:
     """Filter -> clean -> size gates -> embed -> reduce -> cluster ->
-    keywords -> labels -> metrics and report tables.  Returns a dict of
-    DataFrames."""
+    keywords -> labels -> metrics, representatives and report tables.
+    Returns a dict of DataFrames."""
     from utterscope.operators import geometry as ge
     from utterscope.operators import prep as pp
     from utterscope.operators import topics as tp
@@ -113,14 +115,21 @@ def discover_intents(df: DataFrame, key: str, text: str, settings) -> dict:
                          f"{settings.min_cluster_size} or more")
     emb = embed_text(x, "cleaned")
     red = reliable_checkpoint(reduce_dims(emb, "embedding", settings.n_components))
-    topics = density_cluster(red, key, "reduced", settings.min_cluster_size, settings.min_samples,
-                             k=settings.n_neighbors)
-    rows = red.join(topics, key)
+    topics = stability_cluster(red, key, "reduced", settings.min_cluster_size, settings.min_samples,
+                               k=settings.n_neighbors)
+    rows = reliable_checkpoint(red.join(topics, key))
     info = tp.topic_info(rows, "cleaned", "topic_id", settings.top_n_words, pre_cleaned=True)
     labels = info.select("topic_id", tx.topic_label_output("topic_id", "name").alias("discovered_intent"))
     out = tp.attach_topic_label(rows.select(key, text, "cleaned", "topic_id"), labels, "topic_id")
-    metrics = ge.clustering_metrics(rows, key, "topic_id", "embedding", settings.silhouette_max_rows)
+    linear = ge.centroid_silhouette(rows, "topic_id", "embedding")
+    metrics = ge.clustering_metrics(rows, key, "topic_id", "embedding", settings.silhouette_max_rows).withColumns({
+        "silhouette_rows": F.least(F.lit(settings.silhouette_max_rows).cast("long"), linear.select("n").scalar()),
+        "centroid_silhouette": linear.select("centroid_silhouette").scalar(), "clustered_rows": linear.select("n").scalar()})
+    likely = reliable_checkpoint(rows.join(ge.own_probability(rows, key, "topic_id", "embedding", "probability"), key).select(
+        key, "topic_id", "cleaned", "probability"))
     coherence = ge.topic_coherence(rows, "topic_id", "embedding", "euclidean").join(
         info.select("topic_id", "name"), "topic_id", "left").orderBy(F.desc("coherence_score"), "topic_id")
     return {"assignments": out, "topic_info": info, "metrics": metrics, "coherence": coherence,
-            "overview": tp.discovery_overview(rows, "topic_id"), "sizes": tp.topic_sizes(rows, "topic_id")}
+            "overview": tp.discovery_overview(rows, "topic_id"), "sizes": tp.topic_sizes(rows, "topic_id"),
+            "representatives": tp.representative_rows(likely, "topic_id", key, "probability", "cleaned", 5),
+            "report": tp.discovery_report(likely, "topic_id", key, "probability", "cleaned", info)}

@@ -179,6 +179,14 @@ def membership(df: DataFrame, key: str, topic: str, vec: str, temperature: float
     return s.withColumn("topic_ids", F.transform("class_names", lambda x: x.cast("int")))
 
 
+def own_probability(df: DataFrame, key: str, topic: str, vec: str, out: str = "p") -> DataFrame:
+    """(key, ``out``): the probability that H10 gives each row's own topic;
+    0 for noise."""
+    m = membership(df.select(key, topic, vec), key, topic, vec)
+    own = F.filter(F.arrays_zip("topic_ids", "probs"), lambda z: z["topic_ids"] == F.col(topic))
+    return m.select(key, F.when(F.col(topic) == -1, F.lit(0.0)).otherwise(F.element_at(own, 1)["probs"]).alias(out))
+
+
 def assign_topics(fit: DataFrame, new: DataFrame, key: str, topic: str, vec: str) -> DataFrame:
     """Nearest centroid, or -1 when farther than that topic's radius
     (largest member distance seen at fit time).  Row-wise with a broadcast

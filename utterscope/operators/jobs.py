@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +46,18 @@ def evaluate(scored: DataFrame, key: str, choices: list[tuple[float, float]], no
              true: str = "true_label") -> dict[tuple[float, float], dict[str, DataFrame]]:
     """E5 to E15 and G5, G6 for each (temperature, threshold).
 
-    ``scored`` (key, true label, logits, class_names) is kept once; each
-    choice keeps its decisions (key, true, predicted, confidence), from which
-    all its reports follow.
+    ``scored`` (key, true label, logits, class_names) is kept once, and so are
+    the decisions of all choices (key, true, predicted, confidence), from
+    which all reports follow.
     """
     kept = reliable_checkpoint(scored.select(key, F.col(true).alias("true_label"), "logits", "class_names"))
+    decided = [sc.classify(kept, t, h, nomatch).select(
+        F.lit(i).alias("choice"), key, "true_label", F.col("tool_label").alias("pred_label"), "confidence")
+        for i, (t, h) in enumerate(choices)]
+    every = reliable_checkpoint(mt.with_correct(reduce(DataFrame.union, decided))) if decided else None
     out = {}
-    for temperature, threshold in choices:
-        d = sc.classify(kept, temperature, threshold, nomatch).select(
-            key, "true_label", F.col("tool_label").alias("pred_label"), "confidence")
-        d = mt.with_correct(reliable_checkpoint(d))
+    for i, (temperature, threshold) in enumerate(choices):
+        d = every.filter(F.col("choice") == i).drop("choice")
         wrong = d.where(~F.col("correct"))
         out[temperature, threshold] = {
             "accuracy": mt.accuracy(d), "f1_scores": mt.f1_scores(d), "classification_report": mt.classification_report(d),
@@ -109,3 +113,19 @@ def search_classifier(df: DataFrame, key: str, choices: list[dict], settings: Tr
             total += f1
             rows.append((trial, step, f1, total / (step + 1)))
     return df.sparkSession.createDataFrame(rows, "trial int, step int, f1 double, value double")
+
+
+def halving_classifier_search(df: DataFrame, key: str, space: dict, settings: TrainingSettings, n_trials: int = 16,
+                              group: int = 8, at_once: int = 4) -> DataFrame:
+    """I3 as a search: ``search.halving_search`` over arguments of the text
+    pipeline (``reg_param``, ``elastic_net``, ``max_iter``, ``num_features``),
+    scored by weighted F1 on the held-out fold of stratified ones."""
+    from utterscope.operators.search import halving_search
+    text, label = settings.text_column, settings.label_column
+    folds = reliable_checkpoint(sp.stratified_folds(df.select(key, text, label), label, key, settings.k_folds, settings.seed))
+
+    def fitted(choice: dict, step: int) -> float:
+        model, index = md.fit_classifier(folds.where(F.col("fold") != step), text, label, settings.use_class_weights, **choice)
+        return _weighted_f1(model, index, folds.where(F.col("fold") == step), key, label)
+
+    return halving_search(df.sparkSession, space, settings.k_folds, fitted, n_trials, group, seed=settings.seed, at_once=at_once)

@@ -22,12 +22,12 @@ from utterscope.session import sized_broadcast
 
 
 def text_pipeline(text: str, num_features: int = 1 << 16, reg_param: float = 0.01,
-                  max_iter: int = 50, weight_col: str | None = "weight") -> Pipeline:
+                  max_iter: int = 50, weight_col: str | None = "weight", elastic_net: float = 0.0) -> Pipeline:
     tok = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"(?U)\W+", toLowercase=True)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="_features")
     lr = LogisticRegression(featuresCol="_features", labelCol="label_id", maxIter=max_iter,
-                            regParam=reg_param, family="multinomial")
+                            regParam=reg_param, elasticNetParam=elastic_net, family="multinomial")
     if weight_col:
         lr.setWeightCol(weight_col)
     return Pipeline(stages=[tok, tf, idf, lr])
@@ -65,12 +65,13 @@ def train_ensemble(df: DataFrame, text: str, label: str, key: str, seeds: list[i
 
 
 def ensemble_predict(models, df: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    """C9 over fitted models: element-wise mean of logits, then argmax."""
-    out = df
-    cols = []
+    """C9 over fitted models: element-wise mean of logits, then argmax.  The
+    models run one after the other over the same rows, of which only the
+    logits are kept; nothing is joined."""
+    out, cols = df, []
     for i, m in enumerate(models):
-        s = m.transform(df).select(key, vector_to_array("rawPrediction").alias(f"_lg{i}"))
-        out = out.join(s, key)
+        made = m.transform(out)
+        out = made.select(*out.columns, vector_to_array("rawPrediction").alias(f"_lg{i}"))
         cols.append(f"_lg{i}")
     out = out.withColumn("logits", vx.elementwise_mean(cols)).drop(*cols)
     names = index.agg(F.sort_array(F.collect_list(F.struct("label_id", "label"))).alias("_n"))

@@ -70,8 +70,10 @@ def fold_summary(trials: DataFrame) -> DataFrame:
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    """The trial with the highest mean F1 (lowest trial number on ties)."""
+    """The trial with the highest mean F1 (lowest trial number on ties)
+    of those that reached the most folds: pruned ones have fewer."""
     s = fold_summary(trials)
+    s = s.filter(F.col("n_folds") == s.agg(F.max("n_folds")).scalar())
     best = s.agg(F.max_by(F.struct("trial", *_settings_of(trials), "mean_f1"),
                           F.struct("mean_f1", -F.col("trial"))).alias("b"))
     return best.select("b.*")

@@ -129,10 +129,7 @@ reps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id
 def _with_prob(spark, sf):
     """Topic rows with the row's own-topic membership probability (0 for noise)."""
     t = tb.topic_rows(spark, sf)
-    m = ge.membership(t.select("doc_id", "topic_id", "v"), "doc_id", "topic_id", "v")
-    own = F.filter(F.arrays_zip("topic_ids", "probs"), lambda z: z["topic_ids"] == F.col("topic_id"))
-    m = m.select("doc_id", F.when(F.col("topic_id") == -1, F.lit(0.0))
-                 .otherwise(F.element_at(own, 1)["probs"]).alias("p"))
+    m = ge.own_probability(t, "doc_id", "topic_id", "v")
     # materialised once: keywords, sizes and representatives all read it
     from utterscope.session import reliable_checkpoint
     return reliable_checkpoint(t.join(m, "doc_id"))
@@ -211,14 +208,4 @@ def discovery_report(spark, sf):
     three example sentences with their scores."""
     t = _with_prob(spark, sf)
     info = tp.topic_info(t, "cleaned", "topic_id", 10, pre_cleaned=True)
-    sizes = tp.topic_sizes(t, "topic_id")
-    reps = tp.representative_rows(t, "topic_id", "doc_id", "p", "cleaned", 3)
-    cols = []
-    for i in (1, 2, 3):
-        cols += [F.max(F.when(F.col("rep_rank") == i, F.substring("cleaned", 1, 80))).alias(f"example_{i}"),
-                 F.round(F.max(F.when(F.col("rep_rank") == i, F.col("p"))), R6).alias(f"score_{i}")]
-    ex = reps.groupBy("topic_id").agg(*cols)
-    j = info.join(sizes, "topic_id").join(ex, "topic_id").where(F.col("topic_id") != -1)
-    return j.select("topic_id", tx.topic_label_report("topic_id", "name").alias("label"), "size", "pct",
-                    F.array_join(F.slice("keywords", 1, 5), ", ").alias("keywords"),
-                    *[f"{p}_{i}" for i in (1, 2, 3) for p in ("example", "score")])
+    return tp.discovery_report(t, "topic_id", "doc_id", "p", "cleaned", info)
