@@ -36,6 +36,18 @@ def test_settings_validation():
     assert "temperature" in str(e.value) and "confidence_threshold" in str(e.value)
 
 
+def test_settings_are_written_and_overridden(tmp_path):
+    from utterscope.config import TrainingSettings
+    settings = TrainingSettings(seed=7, reg_params=(0.5, 0.1))
+    path = str(tmp_path / "new" / "settings.json")
+    settings.to_json(path)
+    assert TrainingSettings.from_json(path) == settings
+    assert settings.override(k_folds=3) == TrainingSettings(seed=7, reg_params=(0.5, 0.1), k_folds=3)
+    for wrong in ({"k_folds": 1}, {"no_such": 1}):
+        with pytest.raises(SettingsError):
+            settings.override(**wrong)
+
+
 PLAN_CHECKED = ["summary_distribution", "predict_report", "classification_report", "confusion_matrix",
                 "topic_coherence", "davies_bouldin", "knn_join", "contrastive_pairs", "stratified_split",
                 "topic_keywords", "evaluation_sweep", "confidence_histogram"]

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterscope.functions import vectors as vx
@@ -187,26 +187,34 @@ def own_probability(df: DataFrame, key: str, topic: str, vec: str, out: str = "p
     return m.select(key, F.when(F.col(topic) == -1, F.lit(0.0)).otherwise(F.element_at(own, 1)["probs"]).alias(out))
 
 
-def assign_topics(fit: DataFrame, new: DataFrame, key: str, topic: str, vec: str) -> DataFrame:
-    """Nearest centroid, or -1 when farther than that topic's radius
-    (largest member distance seen at fit time).  Row-wise with a broadcast
-    topic table, so it also runs on a streaming DataFrame."""
+def topic_radii(fit: DataFrame, topic: str, vec: str) -> DataFrame:
+    """(t, centroid, radius): topics with the largest distance of a member."""
     cents = topic_centroids(fit, topic, vec)
     j = with_centroid(fit, topic, vec, cents)
     radius = j.groupBy(topic).agg(F.max(vx.euclidean(vx.as_double(vec), "centroid")).alias("radius"))
-    t = cents.join(radius, topic).select(F.struct(F.col(topic).alias("t"), "centroid", "radius").alias("c"))
-    packed = t.agg(F.sort_array(F.collect_list("c")).alias("_cs"))
-    v = vx.as_double(vec)
-    out = new.withColumn("_cs", packed.scalar())
-    out = out.withColumn("_d", vx.with_const("_cs", v, lambda c, x: vx.euclidean(x, c["centroid"])))
-    best = vx.argmax(F.transform("_d", lambda d: -d))
-    out = out.withColumn("_i", best + 1)
+    return cents.join(radius, topic).select(F.col(topic).alias("t"), "centroid", "radius")
+
+
+def nearest_topic(new: DataFrame, topics: Column, vec: str) -> DataFrame:
+    """``new`` with ``assigned_topic`` and ``distance`` by an array of topics
+    (t, centroid, radius); row-wise."""
+    out = new.withColumn("_cs", topics)
+    out = out.withColumn("_d", vx.with_const("_cs", vx.as_double(vec), lambda c, x: vx.euclidean(x, c["centroid"])))
+    out = out.withColumn("_i", vx.argmax(F.transform("_d", lambda d: -d)) + 1)
     near = F.element_at("_cs", F.col("_i"))
     dist = F.element_at("_d", F.col("_i"))
     return (out.withColumn("assigned_topic", F.when(dist <= near["radius"], near["t"]).otherwise(F.lit(-1)))
                .withColumn("distance", dist).drop("_cs", "_d", "_i"))
 
 
+def assign_topics(fit: DataFrame, new: DataFrame, key: str, topic: str, vec: str) -> DataFrame:
+    """Nearest centroid, or -1 when farther than that topic's radius
+    (largest member distance seen at fit time).  Row-wise with the topics in
+    one array, so it also runs on a streaming DataFrame."""
+    packed = topic_radii(fit, topic, vec).agg(F.sort_array(F.collect_list(F.struct("t", "centroid", "radius"))).alias("_cs"))
+    return nearest_topic(new, packed.scalar(), vec)
+
+
 def topic_distances(df: DataFrame, topic: str, vec: str) -> DataFrame:
     """Pairwise distances between topic centroids (K x K by explode)."""
     cents = topic_centroids(df, topic, vec).select(F.col(topic).alias("i"), "centroid")
