@@ -89,3 +89,14 @@ def test_a_hub_meets_a_bounded_number(spark):
     graph = spark.createDataFrame([(i, 0, 0.5, i % 2 == 0) for i in range(1, 400)], "id long, nb long, cos double, fresh boolean")
     met = _meetings(graph, 10, 1).groupBy("v").count().collect()
     assert {r["v"]: r["count"] for r in met}[0] == 20
+
+
+def test_triplets_from_listed_neighbours(spark):
+    from pyspark.sql import functions as F
+
+    from utterscope.operators import pairs as pr
+    df = frame(spark, clustered(120, 6, 5, 8)).withColumn("label", F.pmod("id", F.lit(4)).cast("int"))
+    lists = nb.neighbor_graph(df, "id", "v", k=20, extra=["label"])
+    got = pr.hard_negative_triplets(df, "label", "id", "v", neighbours=lists)
+    want = pr.hard_negative_triplets(df, "label", "id", "v")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -43,11 +43,13 @@ def single_positive_pairs(df: DataFrame, label: str, key: str) -> DataFrame:
 
 
 def hard_negative_triplets(df: DataFrame, label: str, key: str, vec: str, k: int = 20,
-                           seed: int = 42, n_pivots: int = 64) -> DataFrame:
+                           seed: int = 42, n_pivots: int = 64, neighbours: DataFrame | None = None) -> DataFrame:
     """Per anchor whose label has >= 2 rows: a positive of the same label
     (the anchor's successor in seeded-hash order — never itself), and the
     first different-label row among its top-k cosine neighbours; when all k
     share the label, the fallback is the smallest-hash row of another label.
+    ``neighbours`` (``neighbor_graph`` with the label as extra column) takes
+    the place of the exact join on tables too large for it.
     """
     from utterscope.session import sized_broadcast
     base = df.select(key, label, vec).withColumn("_h", seeded_hash(seed, key))
@@ -55,7 +57,8 @@ def hard_negative_triplets(df: DataFrame, label: str, key: str, vec: str, k: int
     partner = pos.select(label, F.col("_pos").alias("_ppos"), F.col(key).alias("positive_id"))
     anchors = (null_safe_join(pos.withColumn("_ppos", (F.col("_pos") % F.col("_n")) + 1), partner, [label, "_ppos"])
                .select(key, label, "positive_id"))
-    knn = knn_join(base.select(key, label, vec), key, vec, k=k, n_pivots=n_pivots, seed=seed, extra=[label])
+    knn = neighbours if neighbours is not None else knn_join(
+        base.select(key, label, vec), key, vec, k=k, n_pivots=n_pivots, seed=seed, extra=[label])
     hard = nearest_other_label(knn, key, label).select(
         key, F.col(f"nb_{key}").alias("hard_negative_id"), F.col("cos").alias("hard_cos"))
     # fallback: per label, the smallest-hash row among the other labels,
