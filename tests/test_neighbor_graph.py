@@ -48,21 +48,21 @@ def test_recall_on_twenty_thousand_rows(spark, kind):
 
 
 def test_same_result_at_any_partitioning(spark):
-    points = clustered(1500, 12, 20, 3)
+    points = clustered(900, 12, 20, 3)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     got = []
     try:
         for parts in (8, 64):
             spark.conf.set("spark.sql.shuffle.partitions", str(parts))
             df = frame(spark, points, parts)
-            got.append([sorted(map(tuple, f(df, "id", "v", k=8, block_rows=200, **more).collect()))
+            got.append([sorted(map(tuple, f(df, "id", "v", k=8, block_rows=150, **more).collect()))
                         for f, more in ((nb.neighbor_graph, {}), (nb.knn_join_sorted, {"overlap": 40, "passes": 8}))])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert got[0] == got[1]
     for rows in got[0]:
-        assert recall({i: {r[1] for r in rows if r[0] == i} for i in range(1500)}, points, 8) >= 0.95
+        assert recall({i: {r[1] for r in rows if r[0] == i} for i in range(900)}, points, 8) >= 0.95
 
 
 def test_lists_are_ranked_as_the_exact_join_ranks(spark):
