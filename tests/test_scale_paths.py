@@ -66,3 +66,22 @@ def test_flagship_scan_is_pruned(spark):
     plan = entry.queries()["predict_report"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>,label:int>" in plan or \
         "struct<vec_id:bigint,embedding:array<float>,label:int>" in plan
+
+
+def test_topics_of_documents_without_a_broadcast(spark, tmp_path):
+    """Tables too large to broadcast are shuffled by the document's vector."""
+    rows = [(i, float(i % 7), i % 10) for i in range(20)]
+    spark.createDataFrame([(i, [x, 1.0], lab) for i, x, lab in rows], "vec_id long, embedding array<float>, label int").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, f"testo numero {i} gratta") for i in range(50)] + [(None, "senza id")], "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {r["doc_id"]: (r["topic_id"], list(r["v"])) for r in tb.topic_rows(spark, str(tmp_path)).collect()}
+        plan = tb.topic_of_documents(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: (-1 if i % 20 % 10 == 9 else i % 20 % 10, [float(i % 20 % 7), 1.0]) for i in range(50)}
+    shuffles = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert shuffles and not any("pmod" in line for line in shuffles), plan  # no shuffle by a subquery's value
