@@ -65,3 +65,32 @@ def test_sorted_passes_find_most_neighbours_and_rank_as_the_exact_join(spark):
     small = df.where("id < 200")
     assert sorted(map(tuple, nb.knn_join_sorted(small, "id", "v", k=5).select("id", "nb_id", "rank").collect())) == \
         sorted(map(tuple, nb.knn_join(small, "id", "v", k=5).select("id", "nb_id", "rank").collect()))
+
+
+def test_knn_join_over_blocks_and_cells_with_repeated_and_null_keys(spark):
+    from utterscope.operators import blocks
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(6, 8))[rng.integers(0, 6, 400)] + 0.3 * rng.normal(size=(400, 8)), 2)
+    v[50:90] = v[50]  # copies
+    rows = [(int(i), [float(x) for x in v[i]], int(i % 3)) for i in range(400)]
+    df = spark.createDataFrame([*rows, (7, rows[9][1], 5), (None, rows[11][1], 6), (401, None, 1)], "id long, v array<double>, label int")
+    got = nb.knn_join(df, "id", "v", k=5, block_rows=16, extra=["label"]).collect()
+    ids = np.array([*range(400), 7])
+    w = np.vstack([v, v[9]])
+    u = w / np.linalg.norm(w, axis=1, keepdims=True)
+    cos = np.round(u @ u.T, 12)
+    listed = {}
+    for r in got:
+        listed.setdefault(r["id"], []).append((r["rank"], r["nb_id"], round(r["cos"], 9)))
+    assert set(listed) == {*range(400), None}
+    for q in range(400):
+        found = []
+        for a in np.flatnonzero(ids == q):
+            found += [(b != q, -c, b) for b, c in zip(ids.tolist(), cos[a].tolist())] + [
+                (True, -cos[a, 11], 1 << 62)]  # the row without a key comes last among equals
+        want = [(n, None if b == 1 << 62 else b, round(-c, 9)) for n, (_, c, b) in enumerate(sorted(found)[:5], 1)]
+        assert sorted(listed[q]) == want, q
+    assert {(r["label"], r["id"] % 3) for r in got if r["id"] not in (None, 7)} == {(0, 0), (1, 1), (2, 2)}
+    # what is sent grows with the rows, not with their square
+    many = spark.range(200_000).select(F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    assert blocks.n_blocks(many, "v", 256) == blocks.n_blocks(many.limit(20_000), "v", 256) == blocks.BLOCKS
