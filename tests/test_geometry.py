@@ -94,3 +94,12 @@ def test_knn_join_over_blocks_and_cells_with_repeated_and_null_keys(spark):
     # what is sent grows with the rows, not with their square
     many = spark.range(200_000).select(F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
     assert blocks.n_blocks(many, "v", 256) == blocks.n_blocks(many.limit(20_000), "v", 256) == blocks.BLOCKS
+
+
+def test_sorted_passes_completed_are_exact(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=32)]) for i in range(1500)], "id long, v array<double>")
+    columns = ["id", "nb_id", "rank", F.round("cos", 6).alias("cos")]
+    exact = nb.knn_join(df, "id", "v", k=10, block_rows=128).select(*columns)
+    got = nb.knn_join_sorted(df, "id", "v", k=10, passes=2, block_rows=64, overlap=8, exact=True).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exact.collect()))
