@@ -103,3 +103,18 @@ def test_sorted_passes_completed_are_exact(spark):
     exact = nb.knn_join(df, "id", "v", k=10, block_rows=128).select(*columns)
     got = nb.knn_join_sorted(df, "id", "v", k=10, passes=2, block_rows=64, overlap=8, exact=True).select(*columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_silhouette_over_blocks_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    v, t = rng.normal(size=(300, 4)) + np.repeat(np.arange(3), 100)[:, None], np.repeat([0, 1, 2], 100)
+    t[::50] = -1
+    df = spark.createDataFrame([(i, int(t[i]), [float(x) for x in v[i]]) for i in range(300)], "id long, topic int, v array<double>")
+    keep = t != -1
+    d = np.linalg.norm(v[keep][:, None] - v[keep][None], axis=2)
+    own, s = t[keep], []
+    for i in range(len(own)):
+        mean = {c: d[i, own == c].sum() / ((own == c).sum() - (own[i] == c)) for c in (0, 1, 2)}
+        a, b = mean[own[i]], min(m for c, m in mean.items() if c != own[i])
+        s.append((b - a) / max(a, b))
+    assert abs(ge.silhouette(df, "id", "topic", "v", block_rows=16).first()[0] - np.mean(s)) < 1e-9
