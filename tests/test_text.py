@@ -89,3 +89,24 @@ def test_topic_label_cleaners(spark):
     assert [g["o"] for g in got][:4] == ["foo bar", "e lotto x", "carta lotto", "NOISE"]
     words = spark.createDataFrame([(["a", "b", "c", "d", "e"],)], "w array<string>")
     assert words.select(tx.first_words("w", 3)).first()[0] == "a b c"
+
+
+def test_generated_text_reads_few_messages_at_a_time(spark):
+    """What stands in Python at once is bounded, whatever the Arrow batch."""
+    from pyspark.sql import functions as F
+    from utterscope.operators import prep as pp
+
+    def counting():
+        import gc
+        seen = []
+
+        def generate(messages):
+            if not seen:  # once: slow
+                seen.append(sum(1 for x in gc.get_objects() if type(x) is dict and set(x) == {"role", "content"}))
+            return str(seen[0] <= 2000)
+        return generate
+
+    df = spark.range(0, 3000, 1, 1).select(F.col("id"), F.array(F.struct(F.lit("user").alias("role"), F.lit("a").alias("content"))).alias("messages"),
+                                           F.lit("abc").alias("fallback"))
+    got = pp.generate_text(df.filter("id % 500 = 0").union(df).coalesce(1), make_generator=counting).groupBy("generated").count().collect()
+    assert {r["generated"]: r["count"] for r in got} == {"True": 3006}
