@@ -80,7 +80,10 @@ info AS (SELECT s.topic, s.n, coalesce(kl.kws, []) AS kws,
 
 
 def _info(spark, sf):
-    return tp.topic_info(tb.topic_rows(spark, sf), "cleaned", "topic_id", 10, pre_cleaned=True)
+    # cleaned once: keywords and sizes read it
+    from utterscope.session import written_table
+    rows = written_table(tb.topic_rows(spark, sf).select("topic_id", "cleaned"), "topic_rows")
+    return tp.topic_info(rows, "cleaned", "topic_id", 10, pre_cleaned=True)
 
 
 @query("topic_info", f"""WITH {INFO_SQL}
